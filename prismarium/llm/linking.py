@@ -114,7 +114,7 @@ def route(df: DataFrame, dim: int, forest: V.Forest, hot: dict[bytes, int], exac
     return df.select("id", "embedding").mapInArrow(send, ROWS_DDL)
 
 
-def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees: int = 2, merge_trees: int = 3, exact: bool = False) -> DataFrame:
+def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees: int = 3, merge_trees: int = 3, exact: bool = False) -> DataFrame:
     """(id, grp) of every row that is linked to another: grp is the smallest id of the group.
 
     ``df`` has id and embedding. Rows whose embedding is null, of another length, all zero or not finite

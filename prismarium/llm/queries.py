@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
+from prismarium.llm.canonical import map_values
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.neighbours import neighbours
 
@@ -38,8 +39,13 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return describe(faces, clusters(faces)).withColumnRenamed("member", "face_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of camera_reference that each typed make, model and lens means, 0 where there is none."""
+    return map_values(_table(spark, d, "images"), _table(spark, d, "camera_reference"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
