@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismarium.llm import vectors as V
 from prismarium.llm.canonical import map_values
 from prismarium.llm.clusters import clusters, describe
+from prismarium.llm.history import repeats
 from prismarium.llm.neighbours import neighbours
 
 
@@ -24,6 +25,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("face_id_a"), F.greatest("a", "b").alias("face_id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of images that repeats a photo, with the accepted row of that photo."""
+    found = repeats(_table(spark, d, "images"))
+    return found.select(F.least("repeat", "accepted").alias("image_id_a"), F.greatest("repeat", "accepted").alias("image_id_b"))
+
+
 def _sure(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "face_detections").where(V.usable_face() & (F.col("confidence") >= 0.5))
 
@@ -45,7 +52,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
