@@ -12,6 +12,8 @@ from prismarium.llm.canonical import map_values
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.history import repeats
 from prismarium.llm.neighbours import neighbours
+from prismarium.llm.variants import variants
+from prismarium.session import Scratch
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,6 +33,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("repeat", "accepted").alias("image_id_a"), F.greatest("repeat", "accepted").alias("image_id_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of rows of persons that name the same person or group."""
+    rows = Scratch(spark).save(variants(_table(spark, d, "persons")))
+    a, b = (rows.withColumnRenamed("id", f"person_id_{x}") for x in "ab")
+    return a.join(b, "entity").where("person_id_a < person_id_b").select("person_id_a", "person_id_b")
+
+
 def _sure(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "face_detections").where(V.usable_face() & (F.col("confidence") >= 0.5))
 
@@ -52,7 +61,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_groups, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
