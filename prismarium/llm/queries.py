@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
+from prismarium.llm.bpe import encode
 from prismarium.llm.canonical import map_values
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.history import repeats
+from prismarium.llm.mixing import mix
 from prismarium.llm.neighbours import neighbours
+from prismarium.llm.reading import reading_levels
 from prismarium.llm.variants import variants
 from prismarium.session import Scratch
 
@@ -60,8 +63,36 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return map_values(_table(spark, d, "images"), _table(spark, d, "camera_reference"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode(_table(spark, d, "documents"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture with their tokens and copies."""
+    return mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each target with the share of the mixture's tokens that its source reached."""
+    return mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document of running prose."""
+    return reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by source and reading level."""
+    documents = _table(spark, d, "documents")
+    levels = reading_levels(documents, _table(spark, d, "reading_labels"))
+    return documents.select("doc_id", "source", "n_chars").join(levels, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_groups, p5_found)}
+    found = (p1_found, p2_found, p3_found, p4_found, p4_groups, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_profile)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
