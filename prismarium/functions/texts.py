@@ -16,12 +16,12 @@ STATUSES = ("present", "missing")
 
 @F.pandas_udf(T.StringType())
 def _zero(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: f"{v:.0f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.0f}" for v in values], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def _one(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: f"{v:.1f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in values], dtype=object)
 
 
 def whole(c: Column | str) -> Column:

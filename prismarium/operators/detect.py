@@ -224,7 +224,7 @@ def describe_images(images: DataFrame, model_id: str, load: Callable[[], Callabl
                     rows.append((key, model_id, say(path).strip(), now))
                 except Exception:  # noqa: BLE001
                     continue
-            yield pd.DataFrame(rows, columns=["image_id", "model_id", "description", "created_at"])
+            yield pd.DataFrame(rows, columns=["image_id", "model_id", "description", "created_at"], dtype=object)
 
     return images.select("id", "path").mapInPandas(run, "image_id long, model_id string, description string, created_at long")
 

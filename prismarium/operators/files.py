@@ -70,7 +70,7 @@ def name_copies(plan: DataFrame, existing: DataFrame) -> DataFrame:
             counters[name] = n
             used.add(free)
             out.append((source, f"{where}/{free}"))
-        return pd.DataFrame(out, columns=["source", "target"])
+        return pd.DataFrame(out, columns=["source", "target"], dtype=object)
 
     return new.union(old).groupBy("dir", "root").applyInPandas(place, "source string, target string")
 

@@ -136,10 +136,8 @@ def extract_metadata(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in METADATA.split(", ")]
         for b in batches:
-            rows = pd.DataFrame([metadata_of(p) for p in b["path"]], columns=names)
-            for c in ("iso", "width", "height", "orientation"):
-                rows[c] = rows[c].astype("Int64")
-            yield rows
+            rows = [metadata_of(p) for p in b["path"]]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return files.select("path").mapInPandas(read, METADATA).withColumn("taken_at", exif_epoch("taken_text")).drop("taken_text")
 
@@ -160,6 +158,6 @@ def hash_files(files: DataFrame, chunk: int = 1 << 16) -> DataFrame:
                     out.append(digest.digest())
                 except OSError:
                     out.append(None)
-            yield b.assign(hash=out)
+            yield b.assign(hash=pd.Series(out, dtype=object, index=b.index))
 
     return files.select("path", "size").mapInPandas(run, "path string, size long, hash binary")

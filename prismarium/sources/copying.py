@@ -49,7 +49,7 @@ def copy_files(plan: DataFrame, verify: bool = False) -> DataFrame:
                     errors.append(None if not verify or filecmp.cmp(source, target, shallow=False) else "the copy differs")
                 except OSError as e:
                     errors.append(str(e)[:200])
-            yield b.assign(error=errors)
+            yield b.assign(error=pd.Series(errors, dtype=object, index=b.index))
 
     return plan.select("source", "target").mapInPandas(run, "source string, target string, error string")
 

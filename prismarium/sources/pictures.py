@@ -120,6 +120,6 @@ def thumbnails(files: DataFrame, most: int = 256, decode: Callable[[bytes], np.n
                     out.append((path, thumbnail(bytes(content), most, decode), None))
                 except Exception as e:  # noqa: BLE001 - a broken file must not end the job
                     out.append((path, None, str(e)[:200]))
-            yield pd.DataFrame(out, columns=["path", "png", "error"])
+            yield pd.DataFrame(out, columns=["path", "png", "error"], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, "path string, png binary, error string")
