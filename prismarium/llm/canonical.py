@@ -155,11 +155,15 @@ class Matcher:
             if found:
                 automaton.make_automaton()
             self._automata[kind] = automaton
-        self.series: dict[str, dict[str, set[str]]] = {}
-        for ref, words in self.names["lens"].items():
-            for w in words:
-                if not re.search(r"\d", w):
-                    self.series.setdefault(self.make_of[ref], {}).setdefault(w, set()).add(ref)
+        #: Of each lens the words before its numbers, without the maker, and the words behind them.
+        self.lens_words: dict[int, tuple[str, str]] = {}
+        for ref, kind, make, name in entries:
+            if kind == "lens" and ref in self.names["lens"]:
+                head = tokens(re.split(r"\d", clean(name))[0])
+                own = list(self.makes.get(clean(make or ""), ()))
+                series = head[len(own) :] if head[: len(own)] == own else head
+                letters = [w for w in self.names["lens"][ref] if not re.search(r"\d", w)]
+                self.lens_words[ref] = ("".join(series), "".join(letters[len(series) :]))
 
     @staticmethod
     def _forms(kind: str, words: tuple[str, ...]) -> list[tuple[str, ...]]:
@@ -281,8 +285,7 @@ class Matcher:
         by = [r for r, parts in self.names["lens"].items() if {w for w in parts if re.search(r"\d", w)} == set(numbers)]
         best = []
         for ref in by:
-            own = [w for w in self.names["lens"][ref] if not re.search(r"\d", w)]
-            score = self._lens_words(letters, self.make_of[ref], own)
+            score = self._lens_words(letters, self.make_of[ref], *self.lens_words[ref])
             if score is not None:
                 best.append((score, ref))
         if not best:
@@ -290,16 +293,14 @@ class Matcher:
         least = min(best)[0]
         return self._one([r for s, r in best if s == least])
 
-    def _lens_words(self, letters: list[str], make: str, own: list[str]) -> int | None:
+    def _lens_words(self, letters: list[str], make: str, series: str, kinds: str) -> int | None:
         """None if the words name another lens; else how far they are from the entry's (a missing word counts little)."""
         typed = "".join(letters)
-        series = [w for w in own if len(self.series.get(make, {}).get(w, ())) > 5] or own[:1]
-        kinds = [w for w in own if w not in series]
         makers = [("".join(self.makes.get(make, ())), 0), ("".join(w for w in self.makes.get(make, ()) if w != "and"), 0), ("", 2)]
         best = None
-        heads = [("".join(h for h in (m, s) if h), cost + c2) for m, cost in [*makers, *((c, 1) for c in self._codes(make))] for s, c2 in [("".join(series), 0), ("", 2)] if m or s]
+        heads = [("".join(h for h in (m, s) if h), cost + c2) for m, cost in [*makers, *((c, 1) for c in self._codes(make))] for s, c2 in [(series, 0), ("", 2)] if m or s]
         for head, cost in heads:
-            for tail, c3 in [("".join(kinds), 0), ("", 3)] if kinds else [("", 0)]:
+            for tail, c3 in [(kinds, 0), ("", 3)] if kinds else [("", 0)]:
                 whole = head + tail
                 most = allowed(head)
                 d = distance(typed, whole, most)

@@ -233,7 +233,8 @@ class History:
         nodes = scratch.save(rows.where("canon is not null").groupBy("path_key").agg(F.min("id").alias("node"), F.first("taken_at").alias("taken_at"), F.first("canon").alias("canon")))
         cut = segments(nodes, False)
         old_keys, old_cut = self._read("keys", keys), self._read("segments", cut)
-        known = old_keys.union(keys).groupBy("key").agg(F.min("id").alias("node"))
+        before, new = (k.groupBy("key").agg(F.min("id").alias(n)) for k, n in ((old_keys, "old"), (keys, "new")))
+        known = new.join(before, "key", "left").select("key", F.coalesce("old", "new").alias("node"))
         exact = keys.join(known, "key").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
         probes = segments(nodes, True).withColumn("probe", F.lit(True))
         old = old_cut.union(cut).withColumn("probe", F.lit(False)).join(probes.select("key").distinct(), "key", "left_semi")

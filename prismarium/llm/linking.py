@@ -104,7 +104,7 @@ def route(df: DataFrame, dim: int, forest: V.Forest, hot: dict[bytes, int], exac
                     lead = copies[lead]
                     head = dict(zip(named[lead].tolist(), ids[lead].tolist()))
                     rest = np.setdiff1d(copies, lead)
-                    yield pa.RecordBatch.from_arrays([pa.array(-1 - (ids[rest] & 1023)), pa.array(ids[rest]), V.binary(np.array([head[k] for k in named[rest].tolist()], np.int64)[:, None])], schema=ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - (ids[copies] & 1023)), pa.array(ids[copies]), V.binary(np.array([head[k] for k in named[copies].tolist()], np.int64)[:, None])], schema=ROWS)
                     stay = np.setdiff1d(np.arange(len(ids)), rest)
                     ids, values, units, small = ids[stay], values[stay], units[stay], small.take(pa.array(stay))
             packed = V.pack_exact(values) if exact else small

@@ -21,7 +21,7 @@ FEWEST, SEEDED = 30, 2_000
 VOCABULARY = 200_000
 #: Weight, in words, of a language's own distribution in each level's.
 SMOOTHING = 100.0
-LEAST_WORDS, LEAST_FUNCTION_WORDS = 40, 0.125
+LEAST_WORDS, LEAST_FUNCTION_WORDS, LEAST_DIFFERENT = 40, 0.125, 4
 #: The most frequent function words of each language.
 FUNCTION_WORDS = {
     "de": "der die das ein eine einen einem und ist sind war waren in im zu von mit auf für wir sie er es ich nicht auch dass dem den des sich bei aus als wie wenn nach weil an am hat haben",
@@ -49,7 +49,9 @@ def prose(text: str | None) -> tuple[str, list[str]] | None:
         return None
     counts = {k: sum(map(v.__contains__, found)) for k, v in _FUNCTION.items()}
     language = max(sorted(counts), key=counts.__getitem__)
-    return (language, found) if counts[language] >= LEAST_FUNCTION_WORDS * len(found) else None
+    if counts[language] < LEAST_FUNCTION_WORDS * len(found) or len(_FUNCTION[language].intersection(found)) < LEAST_DIFFERENT:
+        return None
+    return language, found
 
 
 def formula_level(text: str, found: list[str]) -> int:
