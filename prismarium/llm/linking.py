@@ -51,7 +51,7 @@ def ward(means: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
         own = (means * means).sum(1)
         for start in range(0, len(alive), V.BLOCK):
             product = means[start : start + V.BLOCK] @ means.T
-            i, j = np.nonzero(product >= least)
+            i, j = np.divmod(np.flatnonzero(product >= least), product.shape[1])
             keep = i + start != j
             i, j = i[keep], j[keep]
             a = i + start
@@ -163,7 +163,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees
     routed = route(df, dim, forest, hot, exact).repartition("cell").sortWithinPartitions("cell")
     found = scratch.save(routed.mapInArrow(V.by_group(0, local), LINKS_DDL))
 
-    wide = V.Forest(sample, rows, merge_trees, seed=11, cell_rows=2 * V.CELL_ROWS)
+    wide = V.Forest(sample, rows, merge_trees, seed=11, cell_rows=V.CELL_ROWS)
     shared = spark.sparkContext.broadcast(wide)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from prismarium.session import Scratch
 
 #: A group with more rows than this is searched by cells of its own forest instead of as a whole.
 WHOLE_ROWS = 4_000
+#: Rows of a cell of such a forest, about; every pair in it is compared in double precision.
+CELL_ROWS = 2_400
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -92,7 +94,7 @@ def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch, t
     single = keyed.join(many.select("key", "head"), "key", "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("id", "embedding")
     rows = single.count()
     sample = V.sample_units(single, dim, rows)
-    shared = spark.sparkContext.broadcast(V.Forest(sample, rows, trees, seed=23, cell_rows=4 * V.CELL_ROWS))
+    shared = spark.sparkContext.broadcast(V.Forest(sample, rows, trees, seed=23, cell_rows=CELL_ROWS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

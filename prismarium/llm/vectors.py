@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The pivots of a tree: one per CELL_ROWS rows, between MIN_PIVOTS and MAX_PIVOTS.
-CELL_ROWS, MIN_PIVOTS, MAX_PIVOTS = 600, 4, 4096
+CELL_ROWS, MIN_PIVOTS, MAX_PIVOTS = 10_000, 4, 4096
 #: Rows in the sample that gives pivots and shows hot prefixes, about; its size never exceeds twice this.
 SAMPLE_ROWS = 24_000
 #: A prefix with more rows than this, by the sample, gets longer.
-HOT_ROWS, MAX_DEPTH = 6_000, 3
+HOT_ROWS, MAX_DEPTH = 48_000, 3
 #: Rows of a block of a similarity matrix.
-BLOCK = 1024
+BLOCK = 256
 
 
 def usable_face() -> Column:
@@ -205,7 +205,7 @@ def close_pairs(units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray
     left, right = [], []
     for start in range(0, len(units), BLOCK):
         hit = units[start : start + BLOCK] @ units[start:].T >= least
-        i, j = np.nonzero(hit)
+        i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
         keep = i < j
         left.append(i[keep] + start)
         right.append(j[keep] + start)
