@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from prismarium.functions import col
 from prismarium.functions.geometry import real_face
 
-#: Rows of a block of queries and of a block of known faces; a task compares one block with one.
-QUERY_BLOCK, KNOWN_BLOCK = 2_000, 10_000
+#: Rows of a block of queries and of a block of known faces (a task compares one block with one), and queries in one matrix product.
+QUERY_BLOCK, KNOWN_BLOCK, AT_ONCE = 20_000, 20_000, 500
 PAIRS = "query_id long, person_id long, similarity double"
 
 
@@ -84,10 +84,12 @@ def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: f
             return pa.table({"query_id": pa.array([], pa.int64()), "person_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         order = np.argsort(ids[k], kind="stable")
         persons, start = np.unique(ids[k][order], return_index=True)
-        best = np.maximum.reduceat(v[q] @ v[k][order].T, start, axis=1)
-        keep = np.ones(best.shape, bool) if threshold is None else best >= threshold - 1e-9
-        r, c = np.nonzero(keep)
-        return pa.table({"query_id": ids[q][r], "person_id": persons[c], "similarity": best[r, c]})
+        asked, faces_t, parts = ids[q], np.ascontiguousarray(v[k][order].T), []
+        for at in range(0, len(asked), AT_ONCE):
+            best = np.maximum.reduceat(v[q][at : at + AT_ONCE] @ faces_t, start, axis=1)
+            r, c = np.nonzero(np.ones(best.shape, bool) if threshold is None else best >= threshold - 1e-9)
+            parts.append((asked[at : at + AT_ONCE][r], persons[c], best[r, c]))
+        return pa.table(dict(zip(("query_id", "person_id", "similarity"), map(np.concatenate, zip(*parts)))))
 
     found = a.union(b).groupBy("i", "j").applyInArrow(compare, PAIRS).groupBy("query_id", "person_id").agg(F.max("similarity").alias("similarity"))
     return found if threshold is None else found.where(F.round("similarity", 9) >= threshold)
