@@ -23,7 +23,7 @@ def clusters(df: DataFrame, threshold: float = 0.75, least_size: int = 5, dim: i
     belong to no group; an empty table gives an empty result; other columns of ``df`` are ignored.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    groups = scratch.save(link(df.select("id", "embedding"), threshold, scratch, dim, trees=3, merge_trees=3, exact=True))
+    groups = scratch.save(link(df.select("id", "embedding"), threshold, scratch, dim, trees=3, merge_trees=5, exact=True))
     large = groups.groupBy(F.col("grp").alias("cluster_id")).agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
     return groups.withColumnRenamed("grp", "cluster_id").join(large, "cluster_id").select("cluster_id", F.col("id").alias("member"), "size")
 

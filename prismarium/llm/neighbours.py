@@ -49,7 +49,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
     df = df.select("id", "embedding")
-    groups = scratch.save(link(df, least, scratch, dim))
+    groups = scratch.save(link(df, least, scratch, dim, trees=4))
     sizes = groups.groupBy("grp").count().where(F.col("count") > WHOLE_ROWS)
     large = [r.grp for r in sizes.collect()]  # at most rows / WHOLE_ROWS
 
