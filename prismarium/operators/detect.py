@@ -190,6 +190,16 @@ def downscale_large(rgb: np.ndarray, side: int = LARGEST_SIDE) -> tuple[float, n
     return factor, rgb if factor == 1.0 else resize_mean(rgb, max(1, int(w * factor)), max(1, int(h * factor)))
 
 
+def aligned_faces(boxes: np.ndarray, scores: np.ndarray, crops: np.ndarray, factor: float, width: int, height: int, embed: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[list[float], np.ndarray, float]]:
+    """(box in fractions of the picture, embedding, score) from a model that gives boxes in pixels of its shrunk input and aligned crops, blue first."""
+    out = []
+    for box, score, crop in zip(boxes, scores, crops):
+        part = np.clip(box / factor / np.array([width, height, width, height]), 0, 1)
+        vector = l2_normalize(np.asarray(embed(resize_mean(crop, CROP, CROP).astype(np.float32)), np.float32)) if embed is not None else np.zeros(0, np.float32)
+        out.append((part.tolist(), vector, float(score)))
+    return out
+
+
 def detect_images(images: DataFrame, load: Callable[[], Callable[[str], list[tuple[Sequence[float], Sequence[float], float]]]]) -> DataFrame:
     """Face rows of ``images`` (id, path). ``load`` is called once per task and gives a function of a path.
 

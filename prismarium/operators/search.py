@@ -138,3 +138,13 @@ def library_rows(images: DataFrame) -> DataFrame:
     """Image rows with the camera's fields in a struct ``meta``."""
     meta = ("filename", "taken_at", "make", "model", "lens", "focal_length", "aperture", "iso", "width", "height", "orientation")
     return images.select("id", "path", "added_at", "status", "raw_path", F.struct(*meta).alias("meta"))
+
+
+def where_camera(images: DataFrame, taken_from: int | None = None, taken_to: int | None = None, iso_from: int | None = None, iso_to: int | None = None, make: str | None = None) -> DataFrame:
+    """Planned in the original: images taken in a span of time, at some ISO, by some maker (in any case of A to Z). Null values match no filter."""
+    for c, low, high in (("taken_at", taken_from, taken_to), ("iso", iso_from, iso_to)):
+        if low is not None:
+            images = images.where(F.col(c) >= low)
+        if high is not None:
+            images = images.where(F.col(c) <= high)
+    return images if make is None else images.where(ascii_lower("make") == make.lower())

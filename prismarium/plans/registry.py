@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismarium.functions import bloom, dates, geometry, paths, texts
-from prismarium.operators import collections, commands, detect, faces, files, queues, seen, tournament
-from prismarium.operators.search import SearchQuery, search, search_by_join, search_persons
+from prismarium.operators import browse, collections, commands, detect, faces, files, queues, seen, tournament
+from prismarium.operators.search import SearchQuery, search, search_by_join, search_persons, where_camera
 
 DIM, THRESHOLD, TOP = 96, 0.4, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,11 @@ def persons_search(spark, d):
     return search_persons(t(spark, d, "persons"), "A_n")
 
 
+@query("SELECT id, path, taken_at, iso, make FROM images WHERE taken_at >= 1400000000 AND taken_at <= 1600000000 AND iso >= 200 AND translate(make, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'norvik'")
+def search_camera(spark, d):
+    return where_camera(t(spark, d, "images"), 1_400_000_000, 1_600_000_000, 200, None, "Norvik").select("id", "path", "taken_at", "iso", "make")
+
+
 # --- queues, scans and lookups ----------------------------------------------------------------------------------------
 
 
@@ -386,6 +391,20 @@ def bloom_seen(spark, d):
     return seen.probably_seen(rows.select("id", "hash"), table, bits).select("id")
 
 
+@query(
+    _FLAGS
+    + f""", g AS (SELECT {_FOLDER} AS session, id AS idx, imported, rejected FROM f), n AS (SELECT *, count(*) OVER (PARTITION BY session) AS many FROM g)
+    SELECT session, idx, many > 1 AND rejected AS selected, CASE WHEN many > 1 AND rejected THEN false ELSE rejected OR NOT imported END AS rejected FROM n"""
+)
+def browse_decisions(spark, d):
+    """Someone goes through every folder and, in those with several images, selects what was rejected before; leaving an image comes last."""
+    seen_ = _flagged(spark, d).select(paths.parent("path").alias("session"), F.col("id").alias("idx"), "imported", "rejected")
+    many = F.count("*").over(Window.partitionBy("session")) > 1
+    leave = seen_.select("session", F.lit(2).alias("seq"), "idx", F.lit("leave").alias("action"))
+    toggle = seen_.withColumn("many", many).where("many and rejected").select("session", F.lit(1).alias("seq"), "idx", F.lit("toggle").alias("action"))
+    return browse.decisions(leave.union(toggle), seen_)
+
+
 # --- files --------------------------------------------------------------------------------------------------------------
 
 _BASE = r"regexp_replace(path, '^.*/', '')"
