@@ -321,8 +321,8 @@ class Matcher:
         return tuple(c for c in sorted(out) if sum(short_form(c, " ".join(p)) for p in self.makes.values()) == 1 or c == initials)
 
 
-def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...] = ("make", "model", "lens")) -> DataFrame:
-    """(image_id, field, ref_id) for every value that is neither null, blank nor exactly a name of its kind; ref_id 0 where the list has no entry.
+def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...] = ("make", "model", "lens"), values: bool = False) -> DataFrame:
+    """(image_id, field, ref_id, and the value if ``values``) for every value that is neither null, blank nor exactly a name of its kind; ref_id 0 where the list has no entry.
 
     ``images`` has id and the fields, other columns are ignored; ``reference`` has ref_id, kind, make and name.
     Every value is mapped where it is read, so nothing is shuffled; a worker maps a repeated value once. Ties
@@ -345,6 +345,12 @@ def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...]
                 refs = pa.array(to, pa.int64()).take(coded.indices)
                 keep = refs.is_valid()
                 ids = b.column(0).filter(keep)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([field] * len(ids), pa.string()), refs.filter(keep)], ["image_id", "field", "ref_id"])
+                typed = [b.column(k).filter(keep)] if values else []
+                yield pa.RecordBatch.from_arrays([ids, pa.array([field] * len(ids), pa.string()), refs.filter(keep), *typed], ["image_id", "field", "ref_id", *["value"] * values])
 
-    return images.select("id", *fields).mapInArrow(run, "image_id long, field string, ref_id long")
+    return images.select("id", *fields).mapInArrow(run, "image_id long, field string, ref_id long" + ", value string" * values)
+
+
+def unmatched(images: DataFrame, reference: DataFrame) -> DataFrame:
+    """(field, value, images): typed values without an entry in the list, and how many rows have them."""
+    return map_values(images, reference, values=True).where("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("images"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
-from prismarium.operators.components import connected_components, union_labels
+from prismarium.operators.components import connected_components
 from prismarium.session import Scratch
 
 #: A packed vector that the sample holds this often is hot: its copies are linked without being compared.
@@ -141,7 +141,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees
             units = V.unit(V.unpack_exact(part, dim)) if exact else V.unpack_small(part, dim)
             order = np.argsort(ids[start:end], kind="stable")
             own, units = ids[start:end][order], units[order]
-            flat = union_labels(len(own), *V.close_pairs(units, least))
+            flat = V.linked_labels(units, least)
             linked = np.bincount(flat, minlength=len(own))[flat] > 1
             members.append(own[linked])
             labels.append(own[flat[linked]])

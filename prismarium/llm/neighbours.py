@@ -21,7 +21,7 @@ FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float
 
 
 def best(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of groups of equal size, ids (groups, n) and unit rows (groups, n, dim): each row's k most similar others, the smaller id first on ties."""
+    """Of groups of equal size, ids (groups, n) and unit rows (groups, n, dim): each row's k most similar others, the smaller id first on ties (n below two million)."""
     groups, n = ids.shape
     order = np.argsort(ids, axis=1, kind="stable")
     ids = np.take_along_axis(ids, order, 1)
@@ -31,7 +31,9 @@ def best(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tuple[np.n
         s = np.matmul(units[:, start : start + V.BLOCK], units.transpose(0, 2, 1))
         rows = np.arange(s.shape[1])
         s[:, rows, rows + start] = -2
-        top = np.argsort(-np.round(s, 9), axis=2, kind="stable")[:, :, :k]  # stable: the smaller id first
+        rank = np.arange(n) - (np.rint(s * 1e9).astype(np.int64) << 21)  # the smaller, the nearer; the smaller id first on ties
+        top = np.argpartition(rank, k - 1, axis=2)[:, :, :k] if n > 4 * k else np.broadcast_to(np.arange(n), rank.shape)
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(rank, top, 2), axis=2)[:, :, :k], 2)
         value = np.take_along_axis(s, top, 2)
         g, r, c = np.nonzero(value >= least)
         out.append((ids[g, r + start], ids[g, top[g, r, c]], value[g, r, c]))
@@ -77,6 +79,14 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
     return found
 
 
+def offers(faces: DataFrame, near: DataFrame) -> DataFrame:
+    """(face_id, person_id, votes, similarity): for every face without a person, the persons of its neighbours, how many neighbours each has and the best similarity."""
+    persons = faces.where("person_id is not null").select(F.col("id").alias("b"), "person_id")
+    open_ = faces.where("person_id is null").select(F.col("id").alias("a"))
+    found = near.join(open_, "a", "left_semi").join(persons, "b").groupBy("a", "person_id").agg(F.count("*").alias("votes"), F.max("similarity").alias("similarity"))
+    return found.select(F.col("a").alias("face_id"), "person_id", "votes", F.round("similarity", 6).alias("similarity"))
+
+
 def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch, trees: int = 8) -> DataFrame:
     """As `neighbours`, for the rows of large groups: candidates share a cell in one of many trees with pivots from these rows.
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
 from prismarium.llm.bpe import encode
-from prismarium.llm.canonical import map_values
+from prismarium.llm.canonical import map_values, unmatched
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.history import repeats
 from prismarium.llm.mixing import mix
-from prismarium.llm.neighbours import neighbours
+from prismarium.llm.neighbours import neighbours, offers
 from prismarium.llm.reading import reading_levels
 from prismarium.llm.variants import variants
 from prismarium.session import Scratch
@@ -30,6 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("face_id_a"), F.greatest("a", "b").alias("face_id_b")).distinct()
 
 
+def p1_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Persons offered to faces without one, from their nearest neighbours."""
+    faces = _table(spark, d, "face_detections").where(V.usable_face())
+    return offers(faces, neighbours(faces, k=5, least=0.8))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Each row of images that repeats a photo, with the accepted row of that photo."""
     found = repeats(_table(spark, d, "images"))
@@ -63,6 +69,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return map_values(_table(spark, d, "images"), _table(spark, d, "camera_reference"))
 
 
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that name nothing in camera_reference."""
+    return unmatched(_table(spark, d, "images"), _table(spark, d, "camera_reference"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode(_table(spark, d, "documents"))
@@ -91,7 +102,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p3_found, p4_found, p4_groups, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_profile)
+    found = (p1_found, p1_offers, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_unmatched, p6_ids, p7_mix, p7_shares, p8_found, p8_profile)
     return {f.__name__: f for f in found}
 
 

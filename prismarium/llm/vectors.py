@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismarium.operators.components import union_labels
+
 #: The pivots of a tree: one per CELL_ROWS rows, between MIN_PIVOTS and MAX_PIVOTS.
 CELL_ROWS, MIN_PIVOTS, MAX_PIVOTS = 10_000, 4, 4096
 #: Rows in the sample that gives pivots and shows hot prefixes, about; its size never exceeds twice this.
@@ -200,13 +202,29 @@ def by_group(key: int, handle: Callable[[np.ndarray, pa.RecordBatch], Iterator[p
     return run
 
 
-def close_pairs(units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j of rows with a cosine of at least ``least``."""
-    left, right = [], []
-    for start in range(0, len(units), BLOCK):
+def linked_labels(units: np.ndarray, least: float) -> np.ndarray:
+    """For each row the first row of its group, groups being joined by pairs with a cosine of at least ``least``.
+
+    Pairs are used block by block and never kept, so a cell in which everything is similar needs no more memory: of a
+    dense block every column gives one link, and only hits between rows that are still apart are looked at again.
+    """
+    n = len(units)
+    label = np.arange(n)
+    for start in range(0, n, BLOCK):
         hit = units[start : start + BLOCK] @ units[start:].T >= least
-        i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
-        keep = i < j
-        left.append(i[keep] + start)
-        right.append(j[keep] + start)
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
+        rows = np.arange(start, start + len(hit))
+        while True:
+            if np.count_nonzero(hit) <= 8 * hit.shape[1]:
+                i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                label = _joined(label, rows[i], j + start)
+                break
+            j = np.flatnonzero(hit.any(0))
+            label = _joined(label, rows[hit[:, j].argmax(0)], j + start)
+            hit &= label[rows][:, None] != label[None, start:]
+    return label
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = label[a], label[b]
+    apart = a != b
+    return union_labels(len(label), a[apart], b[apart])[label] if apart.any() else label

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.linking import ward
-from prismarium.llm.neighbours import _in_large, neighbours
+from prismarium.llm.neighbours import _in_large, best, neighbours, offers
 from prismarium.operators.components import union_labels
 from prismarium.session import Scratch
 
@@ -63,6 +63,12 @@ def test_neighbours_against_brute_force(spark, odd):
     assert len(found & true) >= 0.98 * len(true) and len(found - true) <= 0.02 * len(true)
 
 
+def test_offers(spark, rows):
+    faces = spark.createDataFrame([(1, None), (2, 7), (3, 7), (4, 8), (5, None)], "id long, person_id long")
+    near = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.95), (1, 4, 0.8), (1, 5, 0.9), (2, 3, 0.9)], "a long, b long, similarity double")
+    assert rows(offers(faces, near)) == [(1, 7, 2, 0.95), (1, 8, 1, 0.8)]
+
+
 def test_neighbours_of_nothing(spark, odd):
     assert neighbours(spark.createDataFrame([], KIND), 5, 0.8, DIM).count() == 0
     assert neighbours(spark.createDataFrame(odd, KIND), 5, 0.8, DIM).count() == 0
@@ -157,6 +163,25 @@ def test_ward_merges_only_what_surely_links():
     assert ward(np.zeros((0, 2), np.float32), np.zeros(0), 0.5).tolist() == []
 
 
+def test_linking_of_dense_and_sparse_cells():
+    draw = np.random.default_rng(8)
+    for noise, n in ((0.02, 900), (0.3, 700), (1.0, 400)):
+        centres = V.unit(draw.normal(size=(5, DIM)))
+        units = V.unit((centres[draw.integers(0, 5, n)] + draw.normal(size=(n, DIM)) * noise).astype(np.float32))
+        i, j = np.nonzero(np.triu(units @ units.T >= 0.8, 1))
+        assert V.linked_labels(units, 0.8).tolist() == union_labels(n, i, j).tolist()
+    assert V.linked_labels(np.zeros((0, DIM), np.float32), 0.8).tolist() == []
+
+
+def test_ties_and_partitions_agree_with_sorting():
+    draw = np.random.default_rng(9)
+    units = V.unit(draw.integers(-1, 2, (60, 3)).astype(np.float64) + 1e-12, np.float64)
+    ids = draw.permutation(60)
+    rows = [(int(i), v.tolist() + [0.0] * (DIM - 3), "") for i, v in zip(ids, units)]
+    a, b, _ = best(ids[None], units[None], 5, 0.5)
+    assert set(zip(a.tolist(), b.tolist())) == brute([r for r in rows if any(r[1])], 5, 0.5)
+
+
 def test_usable_faces(spark, rows):
     f = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.9), (2, 0.1, 0.0, 0.0, 0.0, 0.0), (3, 0.1, 0.1, 0.1, 0.1, -1.0), (4, 0.1, None, None, None, None), (5, None, 0.2, None, None, 0.5), (None, 0.1, 0.1, 0.1, 0.1, 0.9)], "id long, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, confidence double")
     assert rows(f.where(V.usable_face()), "id") == [(2,), (5,)] and F is not None
