@@ -86,8 +86,10 @@ def merge_raw_rows(images: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.when(~F.col("raw"), F.col("id"))).alias("keep"),
         F.min(F.when(F.col("raw"), F.struct("id", "path"))).alias("raw"),
     ).where("keep is not null and raw is not null").select("keep", F.col("raw.id").alias("gone"), F.col("raw.path").alias("merged_path"))
-    rows = images.join(pairs.select(F.col("gone").alias("id")), "id", "left_anti").join(pairs.select(F.col("keep").alias("id"), "merged_path"), "id", "left")
-    return rows.withColumn("raw_path", F.coalesce("merged_path", "raw_path")).drop("merged_path").select(*images.columns), pairs.select(F.col("gone").alias("id"))
+    role = lambda c, kept: F.struct(F.col(c).alias("id"), F.lit(kept).alias("_kept"), F.col("merged_path").alias("_merged"))
+    roles = pairs.select(F.explode(F.array(role("keep", True), role("gone", False))).alias("r")).select("r.*")  # one join for both roles
+    rows = images.join(roles, "id", "left").where(F.coalesce("_kept", F.lit(True))).withColumn("raw_path", F.coalesce("_merged", "raw_path"))
+    return rows.select(*images.columns), pairs.select(F.col("gone").alias("id"))
 
 
 def reconcile(library: DataFrame, groups: DataFrame) -> DataFrame:
