@@ -163,7 +163,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees
     routed = route(df, dim, forest, hot, exact).repartition("cell").sortWithinPartitions("cell")
     found = scratch.save(routed.mapInArrow(V.by_group(0, local), LINKS_DDL))
 
-    wide = V.Forest(sample, rows, merge_trees, seed=11, cell_rows=V.CELL_ROWS)
+    wide = V.Forest(sample, rows, merge_trees, seed=11)
     shared = spark.sparkContext.broadcast(wide)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Queries pN_ of this subpackage; no SQL goes with them, the tests hold them against brute force."""
+"""Queries pN_ of this subpackage. SQL goes with those that it can express by brute force; the tests hold the others against brute force."""
 
 from __future__ import annotations
 
@@ -106,5 +106,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_PAIRS = """u AS (SELECT id, (list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))))::DOUBLE[96] AS e FROM face_detections
+    WHERE confidence >= {0} AND (coalesce(bbox_x1, 0) <> 0 OR coalesce(bbox_y1, 0) <> 0 OR coalesce(bbox_x2, 0) <> 0 OR coalesce(bbox_y2, 0) <> 0) AND len(embedding) = 96
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS MATERIALIZED (SELECT a.id AS a, b.id AS b, array_inner_product(a.e, b.e) AS s FROM u a JOIN u b ON a.id < b.id WHERE array_inner_product(a.e, b.e) >= {1}),
+    d AS (SELECT a, b, s FROM s UNION ALL SELECT b, a, s FROM s)""".format
+_NEAR = f"{_PAIRS(0, 0.8)}, r AS (SELECT a, b, s FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(a, b) AS face_id_a, greatest(a, b) AS face_id_b FROM r",
+        "p1_offers": f"""WITH {_NEAR} SELECT r.a AS face_id, y.person_id, count(*) AS votes, round(max(r.s), 6) AS similarity FROM r JOIN face_detections x ON x.id = r.a AND x.person_id IS NULL
+            JOIN face_detections y ON y.id = r.b AND y.person_id IS NOT NULL GROUP BY 1, 2""",
+        "p4_found": f"""WITH RECURSIVE {_PAIRS(0.5, 0.75)}, reach AS (SELECT DISTINCT a AS id, a AS other FROM d UNION SELECT reach.id, d.b FROM reach JOIN d ON d.a = reach.other),
+            g AS (SELECT id AS face_id, min(other) AS cluster_id, count(*) AS n FROM reach GROUP BY id) SELECT cluster_id, face_id FROM g WHERE n >= 5""",
+    }

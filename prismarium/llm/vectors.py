@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from prismarium.operators.components import union_labels
 
-#: The pivots of a tree: one per CELL_ROWS rows, between MIN_PIVOTS and MAX_PIVOTS.
-CELL_ROWS, MIN_PIVOTS, MAX_PIVOTS = 10_000, 4, 4096
+#: The pivots of a tree: one per CELL_ROWS rows, at most MAX_PIVOTS.
+CELL_ROWS, MAX_PIVOTS = 10_000, 4096
 #: Rows in the sample that gives pivots and shows hot prefixes, about; its size never exceeds twice this.
 SAMPLE_ROWS = 24_000
 #: A prefix with more rows than this, by the sample, gets longer.
@@ -129,11 +129,12 @@ class Tree:
 class Forest:
     """Trees fitted on a bounded sample of unit vectors that stand for ``rows`` rows. Every row is indexed, not the sample only."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int, seed: int = 7, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS, hot_rows: int = HOT_ROWS):
+    def __init__(self, sample: np.ndarray, rows: int, trees: int, seed: int = 7, cell_rows: int | None = None, max_pivots: int = MAX_PIVOTS, hot_rows: int | None = None):
+        cell_rows, hot_rows = cell_rows or CELL_ROWS, hot_rows or HOT_ROWS
         draw = np.random.default_rng(seed)
-        count = int(min(max(MIN_PIVOTS, rows // cell_rows), max_pivots, len(sample)))
+        count = int(min(max(1, rows // cell_rows), max_pivots, len(sample)))
         self.trees = []
-        for _ in range(trees if len(sample) else 0):
+        for _ in range(min(trees, count) if count < 2 else trees):  # trees of one cell would be alike
             tree = Tree(sample[draw.choice(len(sample), count, replace=False)], [])
             share = rows / len(sample)
             order = np.argsort(-(sample @ tree.pivots.T), axis=1, kind="stable")[:, : min(MAX_DEPTH, count)] if rows > hot_rows else np.zeros((0, 1), int)

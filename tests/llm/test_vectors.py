@@ -55,7 +55,9 @@ def test_packing():
     assert np.isfinite(V.unit(np.full((1, DIM), 3e38, np.float32))).all()
 
 
-def test_neighbours_against_brute_force(spark, odd):
+@pytest.mark.parametrize("cell", [60, 10_000])
+def test_neighbours_against_brute_force(spark, odd, cell, monkeypatch):
+    monkeypatch.setattr(V, "CELL_ROWS", cell)
     rows = points() + odd
     rows += [(5000 + k, rows[3][1], "copy") for k in range(8)]  # more copies than neighbours, so ids decide
     found = {(r.a, r.b) for r in neighbours(spark.createDataFrame(rows, KIND), 5, 0.8, DIM).collect()}
@@ -101,8 +103,9 @@ def test_hot_copies_are_linked_without_comparing(spark, monkeypatch):
 def test_cells_are_stable_and_hot_prefixes_deepen():
     draw = np.random.default_rng(3)
     units = V.unit(draw.normal(size=(3000, DIM)).astype(np.float32))
-    plain = V.Forest(units, 3000, 2, hot_rows=10**9)
+    plain = V.Forest(units, 3000, 2, cell_rows=600, hot_rows=10**9)
     deep = V.Forest(units, 3000, 2, cell_rows=1000, hot_rows=200)
+    assert len(V.Forest(units, 3000, 3).trees) == 1 and not V.Forest(units[:0], 0, 3).trees
     for forest in (plain, deep):
         a, b = forest.cells(units), forest.cells(units[::-1])
         assert all((x == y[::-1]).all() for x, y in zip(a, b)) and len(a) == 2 and not set(a[0]) & set(a[1])
@@ -126,7 +129,9 @@ def test_groups_arrive_whole():
     assert list(V.by_group(0, handle)(iter([]))) == []
 
 
-def test_clusters_against_brute_force(spark, odd):
+@pytest.mark.parametrize("cell", [90, 10_000])
+def test_clusters_against_brute_force(spark, odd, cell, monkeypatch):
+    monkeypatch.setattr(V, "CELL_ROWS", cell)
     rows = points(80, 14, seed=4, noise=0.12) + odd + [(8000, points(80, 14, seed=4, noise=0.12)[0][1], "copy")]
     got = {(r.cluster_id, r.member) for r in clusters(spark.createDataFrame(rows, KIND), 0.75, 5, DIM).collect()}
     good = sorted(r for r in rows if r[0] < 9000)
