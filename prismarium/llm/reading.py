@@ -21,7 +21,7 @@ FEWEST, SEEDED = 30, 2_000
 VOCABULARY = 200_000
 #: Weight, in words, of a language's own distribution in each level's.
 SMOOTHING = 100.0
-LEAST_WORDS, LEAST_FUNCTION_WORDS, LEAST_DIFFERENT = 40, 0.125, 4
+LEAST_WORDS, LEAST_FUNCTION_WORDS, LEAST_DIFFERENT = 40, 0.125, 2
 #: The most frequent function words of each language.
 FUNCTION_WORDS = {
     "de": "der die das ein eine einen einem und ist sind war waren in im zu von mit auf für wir sie er es ich nicht auch dass dem den des sich bei aus als wie wenn nach weil an am hat haben",
