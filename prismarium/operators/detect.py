@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.functions import col
+from prismarium.operators.grouped import by_group
 from prismarium.sources.pictures import resize_mean, resize_nearest
 
 #: Fixed values of the detector: canvas, pixel scaling, strides, anchors of a cell, landmarks, thresholds, size of a face crop.
@@ -70,13 +72,19 @@ def suppress(boxes: np.ndarray, most: float = MOST_OVERLAP) -> np.ndarray:
 def suppress_faces(faces: DataFrame, most: float = MOST_OVERLAP) -> DataFrame:
     """Rows of ``faces`` (image_id, id, confidence, bbox in pixels) that remain after suppression within their image, best first, the smaller id first among equals."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["confidence", "id"], ascending=[False, True])
-        kept = suppress(rows[["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]].to_numpy(float), most)
-        return rows.iloc[kept][["image_id", "id"]]
+    def run(bounds: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        boxes = np.stack([rows.column(k).to_numpy() for k in range(3, 7)], 1)
+        stays = np.ones(len(boxes), bool)
+        for start, end in zip(bounds, bounds[1:]):
+            if end - start > 1:
+                stays[start:end] = False
+                stays[start + suppress(boxes[start:end], most)] = True
+        at = pa.array(np.flatnonzero(stays))
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at)], ["image_id", "id"])
 
     whole = faces.select("image_id", "id", "confidence", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2").dropna()
-    kept = whole.groupBy("image_id").applyInPandas(run, "image_id long, id long")
+    ordered = whole.repartition("image_id").sortWithinPartitions("image_id", F.desc("confidence"), "id")
+    kept = ordered.mapInArrow(by_group(0, run), "image_id long, id long")
     return faces.join(kept, ["image_id", "id"], "left_semi")
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.functions import ascii_lower
 from prismarium.functions.dates import exif_fields, folder
 from prismarium.functions.paths import basename, is_raw, order_key, parent, stem
+from prismarium.operators.grouped import by_group
 
 
 def group_files(files: DataFrame) -> DataFrame:
@@ -49,30 +53,34 @@ def name_copies(plan: DataFrame, existing: DataFrame) -> DataFrame:
     ``existing`` (path) holds the files there. Naming is sequential within one folder and name, as an earlier copy takes a
     name away from later ones; only stems that could meet share a task, not whole folders.
     """
-    root = lambda c: F.regexp_replace(ascii_lower(stem(c)), r"(_\d+)+$", "")
-    new = plan.select("dir", root("source").alias("root"), "source", "seq", F.lit(None).cast("string").alias("taken"))
-    old = existing.select(parent("path").alias("dir"), root("path").alias("root"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("seq"), basename("path").alias("taken"))
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        used = set(rows["taken"].dropna())
-        todo = rows[rows["source"].notna()].sort_values(["seq", "source"])
-        counters: dict[str, int] = {}
+    meet = lambda d, c: F.xxhash64(d, F.regexp_replace(ascii_lower(stem(c)), r"(_\d+)+$", ""))
+    new = plan.select(meet(F.col("dir"), "source").alias("meet"), "dir", "source", "seq", F.lit(None).cast("string").alias("taken"))
+    old = existing.select(meet(parent("path"), "path").alias("meet"), parent("path").alias("dir"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("seq"), basename("path").alias("taken"))
+
+    def place(bounds: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        folders, sources, taken = (rows.column(k).to_pylist() for k in (1, 2, 4))
         out = []
-        for source, where in zip(todo["source"], todo["dir"]):
-            name = source.rpartition("/")[2]
-            base, dot, ext = name.rpartition(".")
-            if not base:
-                base, dot, ext = name, "", ""
-            free, n = name, counters.get(name, 0)
-            while free in used:
-                n += 1
-                free = f"{base}_{n}{dot}{ext}"
-            counters[name] = n
-            used.add(free)
-            out.append((source, f"{where}/{free}"))
-        return pd.DataFrame(out, columns=["source", "target"], dtype=object)
-
-    return new.union(old).groupBy("dir", "root").applyInPandas(place, "source string, target string")
+        for start, end in zip(bounds, bounds[1:]):
+            used = {(folders[i], taken[i]) for i in range(start, end) if sources[i] is None}
+            counters: dict[tuple[str, str], int] = {}
+            for i in range(start, end):
+                if sources[i] is None:
+                    continue
+                name = sources[i].rpartition("/")[2]
+                base, dot, ext = name.rpartition(".")
+                if not base:
+                    base, dot, ext = name, "", ""
+                free, n = name, counters.get((folders[i], name), 0)
+                while (folders[i], free) in used:
+                    n += 1
+                    free = f"{base}_{n}{dot}{ext}"
+                counters[folders[i], name] = n
+                used.add((folders[i], free))
+                out.append((sources[i], f"{folders[i]}/{free}"))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(2)], ["source", "target"])
+
+    ordered = new.union(old).repartition("meet").sortWithinPartitions("meet", "seq", "source")
+    return ordered.mapInArrow(by_group(0, place), "source string, target string")
 
 
 def merge_raw_rows(images: DataFrame) -> tuple[DataFrame, DataFrame]:
