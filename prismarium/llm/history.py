@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismarium.llm import vectors as V
 from prismarium.llm.canonical import distance
 from prismarium.operators.components import connected_components, union_labels
+from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: Edits between canonical spellings of one path, and the segments that a path is cut into.
@@ -178,7 +178,7 @@ def _verified(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]
 def spelling_links(indexed: DataFrame, probing: DataFrame) -> DataFrame:
     """(a, b): nodes of ``probing`` whose paths are verified to be spellings of paths in ``indexed``."""
     both = segments(indexed, False).withColumn("probe", F.lit(False)).union(segments(probing, True).withColumn("probe", F.lit(True)))
-    return both.repartition("key").sortWithinPartitions("key").mapInArrow(V.by_group(0, _verified), "a long, b long").distinct()
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(by_group(0, _verified), "a long, b long").distinct()
 
 
 def photo_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -238,7 +238,7 @@ class History:
         exact = keys.join(known, "key").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
         probes = segments(nodes, True).withColumn("probe", F.lit(True))
         old = old_cut.union(cut).withColumn("probe", F.lit(False)).join(probes.select("key").distinct(), "key", "left_semi")
-        near = old.union(probes).repartition("key").sortWithinPartitions("key").mapInArrow(V.by_group(0, _verified), "a long, b long")
+        near = old.union(probes).repartition("key").sortWithinPartitions("key").mapInArrow(by_group(0, _verified), "a long, b long")
         photos = self._read("photos", self.spark.createDataFrame([], "id long, added_at long, root long"))
         linked = scratch.save(exact.union(near).distinct())
         touched = photos.join(linked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
 from prismarium.operators.components import connected_components
+from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: A packed vector that the sample holds this often is hot: its copies are linked without being compared.
@@ -161,7 +162,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), -1, np.int8)), pa.array(f), pa.array(f), pa.array(np.concatenate(fn)), V.binary(np.concatenate(fmean))], schema=LINKS)
 
     routed = route(df, dim, forest, hot, exact).repartition("cell").sortWithinPartitions("cell")
-    found = scratch.save(routed.mapInArrow(V.by_group(0, local), LINKS_DDL))
+    found = scratch.save(routed.mapInArrow(by_group(0, local), LINKS_DDL))
 
     wide = V.Forest(sample, rows, merge_trees, seed=11)
     shared = spark.sparkContext.broadcast(wide)
@@ -185,7 +186,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     features = found.where("kind = -1").select("label", "n", "v").mapInArrow(spread, "cell long, label long, n long, v binary").repartition("cell").sortWithinPartitions("cell")
-    merged = features.mapInArrow(V.by_group(0, merge), "a long, b long")
+    merged = features.mapInArrow(by_group(0, merge), "a long, b long")
 
     per_row = scratch.save(
         found.where("kind >= 0")

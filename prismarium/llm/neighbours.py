@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
 from prismarium.llm.linking import link
+from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: A group with more rows than this is searched by cells of its own forest instead of as a whole.
@@ -73,7 +74,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
 
     packed = df.mapInArrow(pack, "id long, v binary").join(groups, "id")
     small = packed if not large else packed.join(F.broadcast(sizes.select("grp")), "grp", "left_anti")
-    found = small.select("grp", "id", "v").repartition("grp").sortWithinPartitions("grp").mapInArrow(V.by_group(0, within), "a long, b long, similarity double")
+    found = small.select("grp", "id", "v").repartition("grp").sortWithinPartitions("grp").mapInArrow(by_group(0, within), "a long, b long, similarity double")
     if large:
         found = found.union(_in_large(df.join(groups.join(F.broadcast(sizes.select("grp")), "grp").select("id"), "id"), k, least, dim, scratch))
     return found
@@ -121,7 +122,7 @@ def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch, t
                 a, c, s = best(ids[None, start:end], units[None, start:end], k, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
 
-    near = single.mapInArrow(send, "cell long, id long, v binary").repartition("cell").sortWithinPartitions("cell").mapInArrow(V.by_group(0, within), "a long, b long, similarity double").dropDuplicates(["a", "b"])
+    near = single.mapInArrow(send, "cell long, id long, v binary").repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, within), "a long, b long, similarity double").dropDuplicates(["a", "b"])
     heads = many.select("head", "key").join(firsts, "key")
     # A neighbour that stands for copies becomes its first k + 1 ids; a row that stands for copies gives its neighbours to every copy.
     wide = near.join(heads.select(F.col("head").alias("b"), "first"), "b", "left").select("a", F.explode(F.coalesce("first", F.array("b"))).alias("b"), "similarity")
