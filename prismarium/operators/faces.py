@@ -114,12 +114,13 @@ def top_k(queries: DataFrame, known: DataFrame, persons: DataFrame, dim: int, k:
     scored = _ranked(best_per_person(queries, known, dim, None), k).select("query_id", "person_id", "similarity")
     valid = (F.size("embedding") == dim) & finite("embedding")
     with_faces = known.where(valid).select("person_id").distinct()
-    unscored = who.join(with_faces, "person_id", "left_anti").orderBy("person_id").limit(k)
+    unscored = [r.person_id for r in who.join(with_faces, "person_id", "left_anti").orderBy("person_id").limit(k).collect()]  # k rows at most
+    first = [(n, r.person_id, r.name) for n, r in enumerate(who.orderBy("name", "person_id").limit(k).collect(), 1)]
     asked = queries.select("query_id", F.coalesce(valid, F.lit(False)).alias("valid"))
-    fill = asked.where("valid").crossJoin(F.broadcast(unscored.select("person_id"))).select("query_id", "person_id", F.lit(None).cast("double").alias("similarity"))
+    fill = asked.where("valid").select("query_id", F.explode(F.array(*map(F.lit, unscored)).cast("array<long>")).alias("person_id"), F.lit(None).cast("double").alias("similarity"))
     listed = _ranked(scored.union(fill), k).select("query_id", "rank", "person_id", "similarity").join(who, "person_id")
-    first = who.orderBy("name", "person_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("name", "person_id")))
-    rest = asked.where("not valid").crossJoin(F.broadcast(first)).select("query_id", "rank", "person_id", "name", F.lit(None).cast("double").alias("similarity"))
+    plain = F.array(*(F.struct(F.lit(n).alias("rank"), F.lit(p).cast("long").alias("person_id"), F.lit(name).cast("string").alias("name")) for n, p, name in first))
+    rest = asked.where("not valid").select("query_id", F.explode(plain.cast("array<struct<rank:int,person_id:long,name:string>>")).alias("p")).select("query_id", "p.rank", "p.person_id", "p.name", F.lit(None).cast("double").alias("similarity"))
     return listed.select("query_id", "rank", "person_id", "name", "similarity").unionByName(rest)
 
 

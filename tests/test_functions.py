@@ -98,6 +98,7 @@ def test_matching(spark, rows):
     top = [(q, r, p) for q, r, p, _, _ in rows(faces.top_k(asked, known, persons, 2, 4))]
     assert top[:4] == [(10, 1, 2), (10, 2, 3), (10, 3, 1), (10, 4, 4)]
     assert top[4:8] == [(11, 1, 6), (11, 2, 5), (11, 3, 4), (11, 4, 3)]
+    assert faces.top_k(asked, known, persons.limit(0), 2, 4).count() == 0 and faces.top_k(asked, known, persons, 2, 0).count() == 0
     f = spark.createDataFrame([(1, 2, None), (2, None, [0.0, 1.0]), (3, None, [-1.0, 0.0]), (4, 99, None)], "id long, person_id long, embedding array<float>")
     assert rows(faces.labels(f, known, persons, 2, 0.5)) == [(1, "E", True, False), (2, "E", False, True), (3, "?", False, False), (4, "?", True, False)]
     assert faces.dimension(known.withColumn("face_id", F.lit(1))) == 2
