@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismarium.llm.bpe import VOCABULARY, counted
@@ -135,11 +135,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
         mixed = mixed.union(s)
     mixed = mixed.select("doc_id", "source", "tokens", (F.col("whole") + F.col("part").cast("long")).alias("copies")).where("copies > 0")
     used = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.max("copies").alias("most_copies"))
-    all_ = used.agg(F.sum("mixed").alias("all"))
+    all_ = F.sum(F.coalesce("mixed", F.lit(0))).over(Window.partitionBy(F.lit(0)))  # one row per target
     have = spark.createDataFrame([(p["source"], float(p["target_share"]), int(p["max_repeats"]), *map(int, there.get(p["source"], (0, 0)))) for p in plan], "source string, target_share double, max_repeats long, tokens_there long, documents_there long")
-    report = have.join(used, "source", "left").crossJoin(F.broadcast(all_)).select(
+    report = have.join(used, "source", "left").select(
         "source", "target_share", "max_repeats", "documents_there", "tokens_there",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "copies", "most_copies")),
-        F.coalesce("mixed", F.lit(0)).alias("tokens"), F.coalesce(F.round(F.col("mixed") / F.col("all"), 6), F.lit(0.0)).alias("actual_share"),
+        F.coalesce("mixed", F.lit(0)).alias("tokens"), F.coalesce(F.round(F.col("mixed") / F.nullif(all_, F.lit(0)), 6), F.lit(0.0)).alias("actual_share"),
     )
     return mixed, report
