@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,10 @@ from prismarium.llm.linking import link
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
-#: A group with more rows than this is searched by cells of its own forest instead of as a whole.
+#: A group with more rows than this is compared block by block, in many tasks, instead of as a whole.
 WHOLE_ROWS = 4_000
-#: Rows of a cell of such a forest, about; every pair in it is compared in double precision.
-CELL_ROWS = 2_400
+#: Rows of such a block at most, about, and asking rows of a similarity matrix.
+BLOCK_ROWS, SCAN_ROWS = 131_072, 512
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -41,6 +41,19 @@ def best(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _packer(dim: int) -> Callable:
+    """For mapInArrow over (..., id, embedding): valid rows with their vector packed as v."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, values = V.matrix(b.column(b.num_columns - 1), dim)
+            if len(at):
+                kept = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], V.pack_exact(values)], [*b.schema.names[:-1], "v"])
+
+    return pack
+
+
 def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, similarity): of each row a of ``df`` (id, embedding) the k most similar other rows with a cosine of at least ``least``.
 
@@ -56,12 +69,6 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
     sizes = groups.groupBy("grp").count().where(F.col("count") > WHOLE_ROWS)
     large = [r.grp for r in sizes.collect()]  # at most rows / WHOLE_ROWS
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, values = V.matrix(b.column(1), dim)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), V.pack_exact(values)], ["id", "v"])
-
     def within(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, units = b.column(1).to_numpy(), V.unit(V.unpack_exact(b.column(2), dim), np.float64)
         size = np.diff(bounds)
@@ -72,11 +79,11 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
                 a, c, s = best(ids[rows], units[rows], k, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
 
-    packed = df.mapInArrow(pack, "id long, v binary").join(groups, "id")
+    packed = df.mapInArrow(_packer(dim), "id long, v binary").join(groups, "id")
     small = packed if not large else packed.join(F.broadcast(sizes.select("grp")), "grp", "left_anti")
     found = small.select("grp", "id", "v").repartition("grp").sortWithinPartitions("grp").mapInArrow(by_group(0, within), "a long, b long, similarity double")
     if large:
-        found = found.union(_in_large(df.join(groups.join(F.broadcast(sizes.select("grp")), "grp").select("id"), "id"), k, least, dim, scratch))
+        found = found.union(_in_large(df.join(groups.join(F.broadcast(sizes.select("grp")), "grp"), "id"), k, least, dim, scratch))
     return found
 
 
@@ -88,12 +95,87 @@ def offers(faces: DataFrame, near: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("face_id"), "person_id", "votes", F.round("similarity", 6).alias("similarity"))
 
 
-def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch, trees: int = 8) -> DataFrame:
-    """As `neighbours`, for the rows of large groups: candidates share a cell in one of many trees with pivots from these rows.
+def scan(ids: np.ndarray, values: np.ndarray, other_ids: np.ndarray, others: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k most similar of the other rows, every pair being compared; ties as in `best`.
+
+    Single precision only rules pairs out, with a margin; what it leaves is compared in double precision.
+    """
+    order = np.argsort(other_ids, kind="stable")
+    _, same = np.unique(np.ascontiguousarray(others[order]).view(np.dtype((np.void, others.shape[1] * others.itemsize))).ravel(), return_inverse=True)
+    run = np.argsort(same.ravel(), kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(same.ravel()))])[:-1]
+    order = order[np.sort(run[np.arange(len(run)) - begin[same.ravel()[run]] <= k])]  # no further copy of a vector can be among anyone's k
+    other_ids, others = other_ids[order], others[order]
+    units, norm = V.unit(others), np.sqrt(np.einsum("ij,ij->i", others, others, dtype=np.float64))
+    out = []
+    for start in range(0, len(ids), SCAN_ROWS):
+        own, q = ids[start : start + SCAN_ROWS], V.unit(values[start : start + SCAN_ROWS], np.float64)
+        m, at, step, small = len(own), 0, 2048, q.astype(np.float32)
+        who, value, found = np.repeat(np.arange(m), k), np.full(m * k, -2.0), np.full(m * k, -1, np.int64)
+        while at < len(others):
+            s = small @ units[at : at + step].T
+            bound = np.maximum(value.reshape(m, k)[:, -1], least)
+            if not at and s.shape[1] > k + 1:  # one more than k, as the row itself may be among them
+                bound = np.maximum(bound, np.partition(s, -k - 1, axis=1)[:, -k - 1])
+            i, j = np.divmod(np.flatnonzero(s >= (bound - 2e-6)[:, None].astype(np.float32)), s.shape[1])
+            j += at
+            apart = own[i] != other_ids[j]
+            i, j = i[apart], j[apart]
+            exact = [np.einsum("ij,ij->i", q[i[x : x + 50_000]], others[j[x : x + 50_000]].astype(np.float64)) / norm[j[x : x + 50_000]] for x in range(0, len(i), 50_000)]
+            at, step = at + step, min(16_384, max(2048, at + step))
+            if not len(i):
+                continue
+            w, v, f = np.concatenate([who, i]), np.concatenate([value, *exact]), np.concatenate([found, other_ids[j]])
+            rank = np.lexsort((f, -np.rint(v * 1e9), w))
+            first = np.searchsorted(w[rank], np.arange(m))
+            rank = rank[np.arange(len(rank)) - first[w[rank]] < k]
+            value, found = v[rank], f[rank]
+        good = (value >= least) & (value > -2)
+        out.append((own[who[good]], found[good], value[good]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _blocks(asking: int, rows: int) -> tuple[int, int]:
+    """Into how many blocks so many asking rows and rows are cut: few for little traffic, enough of them for all cores."""
+    return -(-asking // BLOCK_ROWS), min(-(-rows // (BLOCK_ROWS // 4)), max(12, -(-rows // BLOCK_ROWS)))
+
+
+def _scanned(asking: DataFrame, rows: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+    """(a, b, similarity): of each asking row the k nearest of each block of rows, all compared block by block.
+
+    Both have part (a number per group), id, v and the group's numbers of blocks, across and down.
+    """
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sent = asking.select("part", own("across").alias("x"), every("down").alias("y"), F.lit(1).cast("byte").alias("asks"), "id", "v").union(
+        rows.select("part", every("across").alias("x"), own("down").alias("y"), F.lit(0).cast("byte").alias("asks"), "id", "v")
+    )
+    cell = (F.col("part") * 8192 + F.col("x")) * 8192 + F.col("y")
+
+    def within(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asks, ids = b.column(1).to_numpy() == 1, b.column(2).to_numpy()
+        for start, end in zip(bounds, bounds[1:]):
+            who, values = asks[start:end], V.unpack_exact(b.column(3).slice(start, end - start), dim)
+            if who.any() and not who.all():
+                a, c, s = scan(ids[start:end][who], values[who], ids[start:end][~who], values[~who], k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
+
+    return sent.select(cell.alias("cell"), "asks", "id", "v").repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, within), "a long, b long, similarity double")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "similarity")
+
+
+def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch) -> DataFrame:
+    """As `neighbours`, for the rows of large groups (id, embedding, and grp unless all are one group): each group is compared with itself block by block.
 
     Copies of one vector are represented by their k + 1 smallest ids, as no other copy can be among anyone's k nearest.
     """
     spark = df.sparkSession
+    if "grp" not in df.columns:
+        df = df.withColumn("grp", F.lit(0).cast("long"))
     keyed = df.withColumn("key", F.sha2(F.to_json(F.struct("embedding")), 256))
     copies = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"))
     many = scratch.save(copies.where(F.col("n") > 1))
@@ -102,31 +184,15 @@ def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch, t
         lead.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("some"))
         .groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("first"))
     )
-    single = keyed.join(many.select("key", "head"), "key", "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("id", "embedding")
-    rows = single.count()
-    sample = V.sample_units(single, dim, rows)
-    shared = spark.sparkContext.broadcast(V.Forest(sample, rows, trees, seed=23, cell_rows=CELL_ROWS))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, values = V.matrix(b.column(1), dim)
-            if len(at):
-                ids, packed = b.column(0).take(pa.array(at)), V.pack_exact(values)
-                for cells in shared.value.cells(V.unit(values)):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells), ids, packed], ["cell", "id", "v"])
-
-    def within(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, units = b.column(1).to_numpy(), V.unit(V.unpack_exact(b.column(2), dim), np.float64)
-        for start, end in zip(bounds, bounds[1:]):
-            if end - start > 1:
-                a, c, s = best(ids[None, start:end], units[None, start:end], k, least)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
-
-    near = single.mapInArrow(send, "cell long, id long, v binary").repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, within), "a long, b long, similarity double").dropDuplicates(["a", "b"])
+    single = keyed.join(many.select("key", "head"), "key", "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("grp", "id", "embedding")
+    single = scratch.save(single.mapInArrow(_packer(dim), "grp long, id long, v binary"))
+    sizes = single.groupBy("grp").count().collect()  # at most rows / WHOLE_ROWS
+    cut = spark.createDataFrame([(r.grp, part, *_blocks(r["count"], r["count"])) for part, r in enumerate(sizes)], "grp long, part long, across long, down long")
+    cut = single.join(F.broadcast(cut), "grp")
+    near = _scanned(cut, cut, k, least, dim)
     heads = many.select("head", "key").join(firsts, "key")
     # A neighbour that stands for copies becomes its first k + 1 ids; a row that stands for copies gives its neighbours to every copy.
     wide = near.join(heads.select(F.col("head").alias("b"), "first"), "b", "left").select("a", F.explode(F.coalesce("first", F.array("b"))).alias("b"), "similarity")
     own = lead.join(firsts, "key").select(F.col("id").alias("a"), F.explode("first").alias("b"), F.lit(1.0).alias("similarity"))
     given = lead.where(F.col("n") <= k).where(F.col("head") != F.col("id")).select(F.col("id"), F.col("head")).join(wide.withColumnRenamed("a", "head"), "head").select(F.col("id").alias("a"), "b", "similarity")
-    order = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
-    return wide.union(own).union(given).where("a != b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "similarity")
+    return _first(wide.union(own).union(given).where("a != b"), k)

@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.linking import ward
-from prismarium.llm.neighbours import _in_large, best, neighbours, offers
+from prismarium.llm.neighbours import _in_large, best, neighbours, offers, scan
 from prismarium.operators.components import union_labels
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
@@ -88,6 +89,39 @@ def test_a_large_group_is_searched_by_cells(spark):
     assert {b for a, b in found if a == 2100} == {0, 2000, 2001, 2002, 2003}
 
 
+def test_a_large_group_keeps_its_recall(spark, monkeypatch):
+    from prismarium.llm import neighbours as N
+
+    monkeypatch.setattr(N, "WHOLE_ROWS", 500)
+    draw = np.random.default_rng(11)  # a third of all rows in one identity, too wide for the cells of a few trees
+    n, centre = 60_000, V.unit(draw.normal(size=(1, 96)))[0]
+    one = np.float16(centre + draw.normal(size=(n // 3, 96)) * 0.035).astype(np.float32)
+    values = np.concatenate([one, np.float16(draw.normal(size=(n - n // 3, 96))).astype(np.float32)])
+    df = spark.createDataFrame(pa.table({"id": np.arange(n), "embedding": pa.array(list(values))})).repartition(8)
+    found = neighbours(df, 5, 0.8).toArrow()
+    got = set(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    u, ask = V.unit(one, np.float64), draw.choice(n // 3, 400, replace=False)
+    s = u[ask] @ u.T
+    s[np.arange(400), ask] = -2
+    true = {(int(a), int(b)) for a, r, top in zip(ask, s, np.argsort(-s, axis=1)[:, :5]) for b in top if r[b] >= 0.8}
+    assert len(true) > 1000 and len(got & true) >= 0.999 * len(true)
+
+
+def test_scan_is_exact_over_blocks():
+    draw = np.random.default_rng(12)
+    values = np.float32(draw.normal(size=(9000, DIM)))
+    values[100:140] = values[7]  # ties
+    ids = draw.permutation(9000)
+    a, b, s = scan(ids[:600], values[:600], ids, values, 5, -1)
+    u = V.unit(values, np.float64)
+    order = np.argsort(ids)
+    for i in (0, 7, 100, 333, 599):
+        v = u[order] @ u[i]
+        v[ids[i]] = -2
+        assert b[a == ids[i]].tolist() == np.lexsort((np.arange(9000), -np.rint(v * 1e9)))[:5].tolist()
+    assert len(a) == 3000 and not len(scan(ids[:5], values[:5], ids[:5], values[:5], 5, 1.1)[0])
+
+
 def test_hot_copies_are_linked_without_comparing(spark, monkeypatch):
     from prismarium.llm import linking
 
