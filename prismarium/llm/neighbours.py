@@ -18,6 +18,8 @@ from prismarium.session import Scratch
 WHOLE_ROWS = 4_000
 #: Rows of such a block at most, about, and asking rows of a similarity matrix.
 BLOCK_ROWS, SCAN_ROWS = 131_072, 512
+#: The similarity from which on `nearest` lets the forest find neighbours.
+CLOSE = 0.8
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -87,6 +89,27 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
     return found
 
 
+def nearest(df: DataFrame, k: int = 5, dim: int = 96, scratch: Scratch | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """As `neighbours`, but k for every row (or those whose id is in ``asked``) however dissimilar they are, fewer only if there are fewer rows.
+
+    Rows for which the forest finds fewer than k close ones are compared with all rows, block by block: no prefix tells which of the
+    far ones are the nearest, so that part takes time in proportion to such rows times all rows.
+    """
+    scratch = scratch or Scratch(df.sparkSession)
+    df = df.select("id", "embedding")
+    some = (lambda x, key: x.join(asked.select(F.col("id").alias(key)), key, "left_semi")) if asked is not None else lambda x, key: x
+    near = scratch.save(some(neighbours(df, k, CLOSE, dim, scratch), "a"))
+    full = near.groupBy("a").count().where(F.col("count") >= k).select("a")
+    rows = df.mapInArrow(_packer(dim), "id long, v binary")
+    short = scratch.save(some(rows, "id").join(full.withColumnRenamed("a", "id"), "id", "left_anti"))
+    asking = short.count()
+    if not asking:
+        return near
+    across, down = _blocks(asking, df.count())
+    numbers = {"part": F.lit(0).cast("long"), "across": F.lit(across).cast("long"), "down": F.lit(down).cast("long")}
+    return near.join(full, "a", "left_semi").union(_first(_scanned(short.withColumns(numbers), rows.withColumns(numbers), k, -2, dim), k))
+
+
 def offers(faces: DataFrame, near: DataFrame) -> DataFrame:
     """(face_id, person_id, votes, similarity): for every face without a person, the persons of its neighbours, how many neighbours each has and the best similarity."""
     persons = faces.where("person_id is not null").select(F.col("id").alias("b"), "person_id")

@@ -13,7 +13,7 @@ from prismarium.llm.canonical import map_values, unmatched
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.history import repeats
 from prismarium.llm.mixing import mix
-from prismarium.llm.neighbours import neighbours, offers
+from prismarium.llm.neighbours import nearest, neighbours, offers
 from prismarium.llm.reading import reading_levels
 from prismarium.llm.variants import variants
 from prismarium.session import Scratch
@@ -31,11 +31,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_offers(spark: SparkSession, d: str) -> DataFrame:
-    """Persons offered to faces without one, from their nearest neighbours."""
+    """Persons offered to faces without one, from their nearest neighbours of at least 0.80, as its SQL has it."""
     faces = _table(spark, d, "face_detections").where(V.usable_face())
     return offers(faces, neighbours(faces, k=5, least=0.8))
 
 
+def p1_offers_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Persons offered to faces without one, from their 5 nearest neighbours however dissimilar these are."""
+    faces = _table(spark, d, "face_detections").where(V.usable_face())
+    return offers(faces, nearest(faces, k=5, asked=faces.where("person_id is null")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Each row of images that repeats a photo, with the accepted row of that photo."""
     found = repeats(_table(spark, d, "images"))
@@ -102,7 +108,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_offers, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_unmatched, p6_ids, p7_mix, p7_shares, p8_found, p8_profile)
+    found = (p1_found, p1_offers, p1_offers_nearest, p2_found, p3_found, p4_found, p4_groups, p5_found, p5_unmatched, p6_ids, p7_mix, p7_shares, p8_found, p8_profile)
     return {f.__name__: f for f in found}
 
 
@@ -112,6 +118,7 @@ _PAIRS = """u AS (SELECT id, (list_transform(embedding::DOUBLE[], lambda x: x /
     s AS MATERIALIZED (SELECT a.id AS a, b.id AS b, array_inner_product(a.e, b.e) AS s FROM u a JOIN u b ON a.id < b.id WHERE array_inner_product(a.e, b.e) >= {1}),
     d AS (SELECT a, b, s FROM s UNION ALL SELECT b, a, s FROM s)""".format
 _NEAR = f"{_PAIRS(0, 0.8)}, r AS (SELECT a, b, s FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)"
+_NEAREST = f"{_PAIRS(0, -2)}, r AS (SELECT a, b, s FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -119,6 +126,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_NEAR} SELECT DISTINCT least(a, b) AS face_id_a, greatest(a, b) AS face_id_b FROM r",
         "p1_offers": f"""WITH {_NEAR} SELECT r.a AS face_id, y.person_id, count(*) AS votes, round(max(r.s), 6) AS similarity FROM r JOIN face_detections x ON x.id = r.a AND x.person_id IS NULL
             JOIN face_detections y ON y.id = r.b AND y.person_id IS NOT NULL GROUP BY 1, 2""",
+        "p1_offers_nearest": f"""WITH {_NEAREST} SELECT r.a AS face_id, y.person_id, count(*) AS votes, round(max(r.s), 6) AS similarity FROM r JOIN face_detections x ON x.id = r.a AND x.person_id IS NULL
+            JOIN face_detections y ON y.id = r.b AND y.person_id IS NOT NULL GROUP BY 1, 2""",
         "p4_found": f"""WITH RECURSIVE {_PAIRS(0.5, 0.75)}, reach AS (SELECT DISTINCT a AS id, a AS other FROM d UNION SELECT reach.id, d.b FROM reach JOIN d ON d.a = reach.other),
             g AS (SELECT id AS face_id, min(other) AS cluster_id, count(*) AS n FROM reach GROUP BY id) SELECT cluster_id, face_id FROM g WHERE n >= 5""",
     }

@@ -5,7 +5,7 @@ import pytest
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.linking import ward
-from prismarium.llm.neighbours import _in_large, best, neighbours, offers, scan
+from prismarium.llm.neighbours import _in_large, best, nearest, neighbours, offers, scan
 from prismarium.operators.components import union_labels
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
@@ -72,6 +72,17 @@ def test_offers(spark, rows):
     assert rows(offers(faces, near)) == [(1, 7, 2, 0.95), (1, 8, 1, 0.8)]
 
 
+def test_nearest_gives_k_to_rows_without_close_ones(spark, odd):
+    rows = points(60, 5, noise=0.2) + odd
+    df = spark.createDataFrame(rows, KIND)
+    true = brute(rows, 5, -2)
+    found = {(r.a, r.b) for r in nearest(df, 5, DIM).collect()}
+    assert found == true and len(brute(rows, 5, 0.8)) < 0.8 * len(true)
+    some = {(r.a, r.b) for r in nearest(df, 5, DIM, asked=df.where("id < 20")).collect()}
+    assert some == {x for x in true if x[0] < 20}
+    assert nearest(spark.createDataFrame([], KIND), 5, DIM).count() == 0
+
+
 def test_neighbours_of_nothing(spark, odd):
     assert neighbours(spark.createDataFrame([], KIND), 5, 0.8, DIM).count() == 0
     assert neighbours(spark.createDataFrame(odd, KIND), 5, 0.8, DIM).count() == 0
