@@ -17,13 +17,13 @@ from prismarium.session import Scratch
 def clusters(df: DataFrame, threshold: float = 0.75, least_size: int = 5, dim: int = 96, scratch: Scratch | None = None) -> DataFrame:
     """(cluster_id, member): groups of rows of ``df`` (id, embedding) joined by chains of pairs with a cosine of at least ``threshold``.
 
-    Cluster features are built per cell, agglomerated by Ward's distance where they surely hold a linked
-    pair, and every row is then assigned to the cluster of its own feature (see `linking`). Groups of fewer than
+    Trees of cluster features per partition are merged, their leaves agglomerated by Ward's distance, and one pass assigns
+    every row to the centres that result, around which exact pairs link rows (see `linking`). Groups of fewer than
     ``least_size`` rows are left out; cluster_id is the smallest member. Rows without a valid vector
     belong to no group; an empty table gives an empty result; other columns of ``df`` are ignored.
     """
     scratch = scratch or Scratch(df.sparkSession)
-    groups = scratch.save(link(df.select("id", "embedding"), threshold, scratch, dim, trees=3, merge_trees=5, exact=True))
+    groups = scratch.save(link(df.select("id", "embedding"), threshold, scratch, dim))
     large = groups.groupBy(F.col("grp").alias("cluster_id")).agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
     return groups.withColumnRenamed("grp", "cluster_id").join(large, "cluster_id").select("cluster_id", F.col("id").alias("member"), "size")
 

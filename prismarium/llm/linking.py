@@ -1,13 +1,11 @@
-"""Groups of rows joined by chains of similar pairs, found through the forest's cells.
-
-1. Every row goes to one cell of every tree. In a cell, exact similarities link rows; each locally linked
-   set becomes one entry with its smallest id as label and, in the first tree, a cluster feature (count
-   and mean vector).
-2. The features go to cells of a second forest. Two features whose means have a product of at least the
-   threshold surely hold a linked pair, as that product is the mean similarity of their members' pairs;
-   they are agglomerated in order of Ward's distance, and merged features are compared again.
-3. The labels that a row has in several trees, and the merged features, are edges of a small graph
-   (one node per local set); its components give every row its group.
+"""Groups of rows joined by chains of similar pairs, found through trees of cluster features.
+
+1. Every partition builds a tree of cluster features; the trees are merged (see `features`), and their leaves are
+   agglomerated by Ward's distance into as many centres as the rows need.
+2. In one assignment pass every row goes to its nearest centre, and as a visitor to those beyond the
+   boundaries near it. Around a centre, exact similarities link its rows with each other and with the visitors.
+3. The labels that a row has around several centres are edges of a small graph (one node per local set); its
+   components give every row its group, so chains may cross any number of boundaries.
 """
 
 from __future__ import annotations
@@ -20,184 +18,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
+from prismarium.llm.features import agglomerate, leaves
+from prismarium.llm.neighbours import copies
 from prismarium.operators.components import connected_components
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
-#: A packed vector that the sample holds this often is hot: its copies are linked without being compared.
-HOT_COPIES = 24
-ROWS = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("v", pa.binary())])
-LINKS = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
-ROWS_DDL, LINKS_DDL = "cell long, id long, v binary", "kind byte, id long, label long, n long, v binary"
-
+#: A row visits centres until these have so many rows together, and those within this similarity of its best in any case.
+ENOUGH, MARGIN = 6_000, 0.07
+ROWS_DDL, LINKS_DDL = "cell long, own boolean, id long, v binary", "own boolean, id long, label long"
 
-def hot_copies(df: DataFrame, dim: int, rows: int) -> tuple[np.ndarray, dict[bytes, int]]:
-    """The sample's unit vectors, and the hot packed vectors among them with a number each (at most SAMPLE_ROWS / HOT_COPIES)."""
-    sample = V.sample_units(df, dim, rows)
-    packed, count = np.unique(np.rint(sample * (127 / np.abs(sample).max(1, keepdims=True))).astype(np.int8), axis=0, return_counts=True) if len(sample) else (np.zeros((0, dim), np.int8), np.zeros(0, int))
-    share = rows / max(len(sample), 1)
-    return sample, {x.tobytes(): k for k, x in enumerate(packed[(count >= HOT_COPIES) & (count * share > V.HOT_ROWS)])}
 
+def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96) -> DataFrame:
+    """(id, grp) of every row that is linked to another: grp is the smallest id of the group.
 
-def ward(means: np.ndarray, count: np.ndarray, least: float) -> np.ndarray:
-    """Agglomerates cluster features: mutually nearest ones by Ward's distance merge while their means' product is at least ``least``.
-
-    Gives each feature the position of the first feature of its cluster.
+    ``df`` has id and embedding. Rows whose embedding is null, of another length, all zero or not finite
+    are left out; an empty table gives an empty result. Similarities decide on the given numbers. Of the copies of a vector in
+    a batch one travels, the others are linked to it.
     """
-    label = np.arange(len(means))
-    alive = np.arange(len(means))
-    means, count = means.astype(np.float32), count.astype(np.float32)
-    while len(alive) > 1:
-        left, right, cost = [], [], []
-        own = (means * means).sum(1)
-        for start in range(0, len(alive), V.BLOCK):
-            product = means[start : start + V.BLOCK] @ means.T
-            i, j = np.divmod(np.flatnonzero(product >= least), product.shape[1])
-            keep = i + start != j
-            i, j = i[keep], j[keep]
-            a = i + start
-            left.append(a)
-            right.append(j)
-            cost.append(count[a] * count[j] / (count[a] + count[j]) * (own[a] + own[j] - 2 * product[i, j]))
-        a, b, c = (np.concatenate(x) for x in (left, right, cost))
-        if not len(a):
-            break
-        order = np.lexsort((b, c, a))
-        a, b = a[order], b[order]
-        first = np.concatenate([[True], a[1:] != a[:-1]])
-        nearest = np.full(len(alive), -1)
-        nearest[a[first]] = b[first]
-        mutual = np.flatnonzero((nearest >= 0) & (nearest[nearest] == np.arange(len(alive))) & (np.arange(len(alive)) < nearest))
-        if not len(mutual):  # equal distances in a ring: the smallest pair merges
-            mutual = a[:1]
-            nearest[mutual] = b[:1]
-        other = nearest[mutual]
-        both = count[mutual] + count[other]
-        means[mutual] = (means[mutual] * count[mutual, None] + means[other] * count[other, None]) / both[:, None]
-        count[mutual] = both
-        to = np.arange(len(label))
-        to[alive[other]] = alive[mutual]
-        label = to[label]
-        stay = np.zeros(len(alive), bool)
-        stay[a] = True  # a feature without such a partner can't get one: the product with a merged mean is a mean of products
-        stay[other] = False
-        alive, means, count = alive[stay], means[stay], count[stay]
-    return label
-
-
-def route(df: DataFrame, dim: int, forest: V.Forest, hot: dict[bytes, int], exact: bool) -> DataFrame:
-    """(cell, id, v): every valid row once per tree; copies of a hot vector without it, in negative cells, but for a few that stand for them."""
-    shared = df.sparkSession.sparkContext.broadcast((forest, hot))
+    spark = df.sparkSession
+    totals, n = leaves(df, dim)
+    if not len(n):
+        return spark.createDataFrame([], "id long, grp long")
+    label = agglomerate(totals, n, max(4, int(n.sum()) // V.CELL_ROWS))
+    heads, inverse = np.unique(label, return_inverse=True)
+    sums = np.zeros((len(heads), dim))
+    np.add.at(sums, inverse, totals)
+    shared = spark.sparkContext.broadcast(V.Forest([V.unit(sums)], dense=2).counted(df, dim))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, hot = shared.value
         for b in batches:
             at, values = V.matrix(b.column(1), dim)
             if not len(at):
                 continue
-            ids, units = b.column(0).to_numpy()[at], V.unit(values)
-            small = V.pack_small(units)
-            if hot:
-                named = np.array([hot.get(x.as_py(), -1) for x in small])
-                copies = np.flatnonzero(named >= 0)
-                if len(copies):
-                    _, lead = np.unique(named[copies], return_index=True)
-                    lead = copies[lead]
-                    head = dict(zip(named[lead].tolist(), ids[lead].tolist()))
-                    rest = np.setdiff1d(copies, lead)
-                    yield pa.RecordBatch.from_arrays([pa.array(-1 - (ids[copies] & 1023)), pa.array(ids[copies]), V.binary(np.array([head[k] for k in named[copies].tolist()], np.int64)[:, None])], schema=ROWS)
-                    stay = np.setdiff1d(np.arange(len(ids)), rest)
-                    ids, values, units, small = ids[stay], values[stay], units[stay], small.take(pa.array(stay))
-            packed = V.pack_exact(values) if exact else small
-            for cells in forest.cells(units):
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids), packed], schema=ROWS)
-
-    return df.select("id", "embedding").mapInArrow(send, ROWS_DDL)
-
-
-def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96, trees: int = 3, merge_trees: int = 3, exact: bool = False) -> DataFrame:
-    """(id, grp) of every row that is linked to another: grp is the smallest id of the group.
-
-    ``df`` has id and embedding. Rows whose embedding is null, of another length, all zero or not finite
-    are left out; an empty table gives an empty result. ``exact``: similarities decide on the
-    given numbers; else on packed ones with a margin, for callers that compare again within groups.
-    """
-    spark = df.sparkSession
-    rows = df.count()
-    sample, hot = hot_copies(df, dim, rows)
-    forest = V.Forest(sample, rows, trees)
-    least = threshold if exact else threshold - 0.01
+            ids = b.column(0).to_numpy()[at]
+            late, head = copies(ids, values, 0)
+            if len(late):
+                heads = np.unique(head)  # these also name themselves, so that their label around a centre is tied to their copies
+                who, to = np.concatenate([ids[late], heads]), np.concatenate([head, heads])
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - (who & 1023)), pa.array(np.arange(len(who)) < len(late)), pa.array(who), V.binary(to[:, None])], ["cell", "own", "id", "v"])
+            stay = np.setdiff1d(np.arange(len(ids)), late)
+            ids, values = ids[stay], values[stay]
+            packed = V.pack_exact(values)
+            for step, (who, code) in enumerate(shared.value.visits(V.unit(values), MARGIN, ENOUGH)[0]):
+                rows = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.full(len(who), not step)), pa.array(ids[who]), packed.take(rows)], ["cell", "own", "id", "v"])
 
     def local(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cells, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        kinds, members, labels, fid, fn, fmean = [], [], [], [], [], []
+        cells, own, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+        owns, members, labels = [], [], []
         for start, end in zip(bounds, bounds[1:]):
-            cell = cells[start]
-            if cell < 0:
+            part = b.column(3).slice(start, end - start)
+            if cells[start] < 0:
+                owns.append(own[start:end])
                 members.append(ids[start:end])
-                labels.append(V.raw(b.column(2).slice(start, end - start))[0].view(np.int64))
-                kinds.append(np.zeros(end - start, np.int8))
+                labels.append(V.raw(part)[0].view(np.int64))
                 continue
-            part = b.column(2).slice(start, end - start)
-            units = V.unit(V.unpack_exact(part, dim)) if exact else V.unpack_small(part, dim)
-            order = np.argsort(ids[start:end], kind="stable")
-            own, units = ids[start:end][order], units[order]
-            flat = V.linked_labels(units, least)
-            linked = np.bincount(flat, minlength=len(own))[flat] > 1
-            members.append(own[linked])
-            labels.append(own[flat[linked]])
-            kinds.append(np.full(linked.sum(), cell % 64, np.int8))
-            if cell % 64 == 0:
-                heads, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-                by = np.argsort(inverse, kind="stable")
-                mean = np.add.reduceat(units[by], np.concatenate([[0], np.cumsum(n)[:-1]])) / n[:, None]
-                fid.append(own[heads])
-                fn.append(n)
-                fmean.append(mean.astype(np.float16))
+            order = np.lexsort((ids[start:end], ~own[start:end]))  # the centre's own rows first
+            here, mine = ids[start:end][order], own[start:end][order]
+            flat = V.linked_labels(V.unit(V.unpack_exact(part, dim))[order], threshold, int(mine.sum()))
+            linked = np.bincount(flat, minlength=len(here))[flat] > 1
+            owns.append(mine[linked])
+            members.append(here[linked])
+            labels.append(here[flat[linked]])
         if members:
-            m = np.concatenate(members)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(m), pa.array(np.concatenate(labels)), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.binary())], schema=LINKS)
-        if fid:
-            f = np.concatenate(fid)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), -1, np.int8)), pa.array(f), pa.array(f), pa.array(np.concatenate(fn)), V.binary(np.concatenate(fmean))], schema=LINKS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owns)), pa.array(np.concatenate(members)), pa.array(np.concatenate(labels))], ["own", "id", "label"])
 
-    routed = route(df, dim, forest, hot, exact).repartition("cell").sortWithinPartitions("cell")
+    routed = df.select("id", "embedding").mapInArrow(send, ROWS_DDL).repartition("cell").sortWithinPartitions("cell")
     found = scratch.save(routed.mapInArrow(by_group(0, local), LINKS_DDL))
-
-    wide = V.Forest(sample, rows, merge_trees, seed=11)
-    shared = spark.sparkContext.broadcast(wide)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            means = V.unit(V.raw(b.column(2))[0].view(np.float16).reshape(-1, dim))
-            for cells in shared.value.cells(means):
-                yield pa.RecordBatch.from_arrays([pa.array(cells), b.column(0), b.column(1), b.column(2)], ["cell", "label", "n", "v"])
-
-    def merge(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        label, n, means = b.column(1).to_numpy(), b.column(2).to_numpy(), V.raw(b.column(3))[0].view(np.float16).reshape(-1, dim).astype(np.float32)
-        left, right = [], []
-        for start, end in zip(bounds, bounds[1:]):
-            to = ward(means[start:end], n[start:end], least + 0.002)
-            moved = np.flatnonzero(to != np.arange(end - start))
-            left.append(label[start:end][moved])
-            right.append(label[start:end][to[moved]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    features = found.where("kind = -1").select("label", "n", "v").mapInArrow(spread, "cell long, label long, n long, v binary").repartition("cell").sortWithinPartitions("cell")
-    merged = features.mapInArrow(by_group(0, merge), "a long, b long")
-
-    per_row = scratch.save(
-        found.where("kind >= 0")
-        .groupBy("id")
-        .agg(F.coalesce(F.min(F.when(F.col("kind") == 0, F.col("label"))), F.col("id")).alias("first"), F.collect_set("label").alias("labels"))
-    )
+    # A row stands for itself where its own centre links it with nothing.
+    per_row = scratch.save(found.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("label"))), F.col("id")).alias("first"), F.collect_set("label").alias("labels")))
     crossing = per_row.select(F.col("first").alias("a"), F.explode("labels").alias("b"))
-    roots = connected_components(crossing.union(merged), "a", "b", scratch)
+    roots = connected_components(crossing, "a", "b", scratch)
     return (
         per_row.select("id", "first")
-        .union(roots.select(F.explode(F.array("node", "root")).alias("id"), F.col("id").alias("first")))  # rows linked by their own feature only
+        .union(roots.select(F.explode(F.array("node", "root")).alias("id"), F.col("id").alias("first")))  # rows known as labels only
         .dropDuplicates(["id"])
         .join(roots.withColumnRenamed("node", "first"), "first", "left")
         .select("id", F.coalesce("root", "first").alias("grp"))

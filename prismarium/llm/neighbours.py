@@ -1,4 +1,11 @@
-"""Problem 1: the k most similar vectors of every vector, by a hash-prefix forest."""
+"""Problem 1: the k most similar vectors of every vector, by a hash-prefix forest.
+
+1. The rows of each tree are brought together by the prefixes of their hash strings (`vectors.Forest`): a row lies
+   below its own prefix, and visits further prefixes by ascending in all trees at once until it has met enough rows.
+   Vectors travel as bytes here; what is found is only which rows may be near each other.
+2. Every row's candidates are fetched to the prefix where the row lies in the first tree, its home. There each row is
+   compared exactly, in double precision, with all rows of its home and all that were fetched to it.
+"""
 
 from __future__ import annotations
 
@@ -10,37 +17,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismarium.llm import vectors as V
-from prismarium.llm.linking import link
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
-#: A group with more rows than this is compared block by block, in many tasks, instead of as a whole.
-WHOLE_ROWS = 4_000
-#: Rows of such a block at most, about, and asking rows of a similarity matrix.
-BLOCK_ROWS, SCAN_ROWS = 131_072, 512
+#: Trees, the rows an ascent has to meet (over all trees), and how near a prefix is visited in any case.
+TREES, ENOUGH, MARGIN = 2, 8_000, 0.05
+#: Rows of a block of a dense prefix, and of a block of the whole table, at most, about; asking rows of a similarity matrix.
+BLOCK_ROWS, WIDE_ROWS, SCAN_ROWS = 32_768, 131_072, 512
 #: The similarity from which on `nearest` lets the forest find neighbours.
 CLOSE = 0.8
+#: Cosines of vectors sent as bytes are wrong by less than this.
+SMALL_ERROR = 0.012
+ASKS, ANSWERS = 1, 2
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-
-
-def best(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of groups of equal size, ids (groups, n) and unit rows (groups, n, dim): each row's k most similar others, the smaller id first on ties (n below two million)."""
-    groups, n = ids.shape
-    order = np.argsort(ids, axis=1, kind="stable")
-    ids = np.take_along_axis(ids, order, 1)
-    units = np.take_along_axis(units, order[:, :, None], 1)
-    out = []
-    for start in range(0, n, V.BLOCK):
-        s = np.matmul(units[:, start : start + V.BLOCK], units.transpose(0, 2, 1))
-        rows = np.arange(s.shape[1])
-        s[:, rows, rows + start] = -2
-        rank = np.arange(n) - (np.rint(s * 1e9).astype(np.int64) << 21)  # the smaller, the nearer; the smaller id first on ties
-        top = np.argpartition(rank, k - 1, axis=2)[:, :, :k] if n > 4 * k else np.broadcast_to(np.arange(n), rank.shape)
-        top = np.take_along_axis(top, np.argsort(np.take_along_axis(rank, top, 2), axis=2)[:, :, :k], 2)
-        value = np.take_along_axis(s, top, 2)
-        g, r, c = np.nonzero(value >= least)
-        out.append((ids[g, r + start], ids[g, top[g, r, c]], value[g, r, c]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+FOUND_DDL = "a long, b long, similarity double"
+#: Marks rows of the result that name the copy whose neighbours they share.
+COPY = 2.0
 
 
 def _packer(dim: int) -> Callable:
@@ -56,37 +48,166 @@ def _packer(dim: int) -> Callable:
     return pack
 
 
+def copies(ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows that repeat a vector which k + 1 smaller ids of this batch have already, and the smallest such id of each."""
+    _, same = np.unique(np.ascontiguousarray(values).view(np.dtype((np.void, values.shape[1] * values.itemsize))).ravel(), return_inverse=True)
+    same = same.ravel()
+    n = np.bincount(same)
+    if n.max() <= k + 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((ids, same))
+    begin = np.concatenate([[0], np.cumsum(n)])[:-1]
+    rank = np.arange(len(order)) - begin[same[order]]
+    late = order[rank > k]
+    return late, ids[order[begin[same[late]]]]
+
+
+def spots(code: np.ndarray, tree: int, blocks: np.ndarray, ids: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where rows go that lie below, visit or are fetched to prefixes: (row, cell, role) with the cells of a square where a prefix has several blocks."""
+    many = blocks[np.minimum(code, len(blocks) - 1)] if len(blocks) else np.ones(len(code), np.int64)
+    many = np.where(code < len(blocks), many, 1)
+    one = np.flatnonzero(many == 1)
+    out = [(one, code[one] * 8 + tree, np.full(len(one), role, np.int8))]
+    for b in np.unique(many[many > 1]).tolist():
+        rows = np.flatnonzero(many == b)
+        own = ((ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % b
+        base = (code[rows] * 8 + tree) << 26
+        for other in range(b):
+            if role & ASKS:
+                out.append((rows, -1 - (base | own << 13 | other), np.where(own == other, role, ASKS).astype(np.int8)))
+            if role & ANSWERS:
+                off = rows[own != other] if role & ASKS else rows
+                at = own[own != other] if role & ASKS else own
+                bb = base[own != other] if role & ASKS else base
+                out.append((off, -1 - (bb | other << 13 | at), np.full(len(off), ANSWERS, np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, similarity): of each row a of ``df`` (id, embedding) the k most similar other rows with a cosine of at least ``least``.
 
     Ties go to the smaller id. Rows without a valid vector have no neighbours and are nobody's; other columns
-    of ``df`` are ignored; an empty table gives an empty result. The forest links rows (see `linking`);
-    within a linked group every pair is compared exactly, in double precision. A pair is missed only if no
-    tree and no merge of the forest connects its group.
+    of ``df`` are ignored; an empty table gives an empty result. A pair is missed only if no tree brings the two, or
+    a candidate of one and the home of the other, below one prefix; a table that an ascent covers is searched exactly.
+    Further copies of a vector that k + 1 rows of the same batch hold get their neighbours from the first of these.
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
     df = df.select("id", "embedding")
-    groups = scratch.save(link(df, least, scratch, dim, trees=4))
-    sizes = groups.groupBy("grp").count().where(F.col("count") > WHOLE_ROWS)
-    large = [r.grp for r in sizes.collect()]  # at most rows / WHOLE_ROWS
+    rows = df.count()
+    forest = V.Forest.fit(V.sample_units(df, dim, rows), rows, TREES).counted(df, dim)
+    if not forest.trees:
+        return spark.createDataFrame([], FOUND_DDL)
+    blocks = [np.concatenate([[1], np.maximum(1, -(-tree.sizes // BLOCK_ROWS))]) for tree in forest.trees]
+    shared = spark.sparkContext.broadcast((forest, blocks))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, blocks = shared.value
+        for b in batches:
+            at, values = V.matrix(b.column(1), dim)
+            if not len(at):
+                continue
+            ids = b.column(0).to_numpy()[at]
+            stay = np.setdiff1d(np.arange(len(ids)), copies(ids, values, k)[0])
+            ids, units = ids[stay], V.unit(values[stay])
+            small, visits = V.pack_small(units), forest.visits(units, MARGIN, ENOUGH)
+            home = np.zeros(len(ids), np.int64)
+            home[visits[0][0][0]] = visits[0][0][1]
+            for t, steps in enumerate(visits):
+                for step, (who, code) in enumerate(steps):
+                    row, cell, role = spots(code, t, blocks[t], ids[who], ASKS if step else ASKS | ANSWERS)
+                    if not t and not step:  # rows of one home meet there anyway
+                        keep = role != ASKS
+                        row, cell, role = row[keep], cell[keep], np.full(keep.sum(), ANSWERS, np.int8)
+                    row = who[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(ids[row]), pa.array(home[row]), small.take(pa.array(row))], ["cell", "role", "id", "home", "v"])
+
+    def meet(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        roles, ids, homes = (b.column(c).to_numpy() for c in (1, 2, 3))
+        out: list[np.ndarray] = []
+        for start, end in zip(bounds, bounds[1:]):
+            role = roles[start:end]
+            ask, answer = np.flatnonzero(role & ASKS), np.flatnonzero(role & ANSWERS)
+            if not len(ask) or not len(answer):
+                continue
+            units, own, home = V.unpack_small(b.column(4).slice(start, end - start), dim), ids[start:end], homes[start:end]
+            others = units[answer]
+            for x in range(0, len(ask), SCAN_ROWS):
+                a = ask[x : x + SCAN_ROWS]
+                i, j = _top(units[a] @ others.T, k + 3, least - SMALL_ERROR)
+                a, c = a[i], answer[j]
+                apart = home[a] != home[c]
+                a, c = a[apart], c[apart]
+                out.append(np.stack([np.concatenate([home[a], home[c]]), np.concatenate([own[c], own[a]])], axis=1))
+        if out:
+            found = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["home", "id"])
+
+    routed = df.mapInArrow(send, "cell long, role byte, id long, home long, v binary").repartition("cell").sortWithinPartitions("cell")
+    asked = scratch.save(routed.mapInArrow(by_group(0, meet), "home long, id long").distinct())
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows at their homes; copies that need no search."""
+        forest, blocks = shared.value
+        for b in batches:
+            at, values = V.matrix(b.column(1), dim)
+            if not len(at):
+                continue
+            ids = b.column(0).to_numpy()[at]
+            late, head = copies(ids, values, k)
+            if len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - (ids[late] & 1023)), pa.array(np.zeros(len(late), np.int8)), pa.array(ids[late]), V.binary(head[:, None])], ["cell", "role", "id", "v"])
+            stay = np.setdiff1d(np.arange(len(ids)), late)
+            ids, values = ids[stay], values[stay]
+            tree = forest.trees[0]
+            row, cell, role = spots(tree.prefixes(tree.strings(V.unit(values), V.DIGITS)[0]), 0, blocks[0], ids, ASKS | ANSWERS)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(ids[row]), V.pack_exact(values).take(pa.array(row))], ["cell", "role", "id", "v"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, blocks = shared.value
+        for b in batches:
+            at, values = V.matrix(b.column(2), dim)
+            if len(at):
+                ids, packed = b.column(1).to_numpy()[at], V.pack_exact(values)
+                row, cell, role = spots(b.column(0).to_numpy()[at], 0, blocks[0], ids, ANSWERS)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(ids[row]), packed.take(pa.array(row))], ["cell", "role", "id", "v"])
 
-    def within(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, units = b.column(1).to_numpy(), V.unit(V.unpack_exact(b.column(2), dim), np.float64)
-        size = np.diff(bounds)
-        for n in np.unique(size[size > 1]):
-            starts = bounds[:-1][size == n]
-            for part in np.array_split(starts, max(1, len(starts) * n * n // 1_000_000)):
-                rows = part[:, None] + np.arange(n)
-                a, c, s = best(ids[rows], units[rows], k, least)
+    def exact(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cells, roles, ids = (b.column(c).to_numpy() for c in (0, 1, 2))
+        for start, end in zip(bounds, bounds[1:]):
+            part, role, own = b.column(3).slice(start, end - start), roles[start:end], ids[start:end]
+            if not role.any():
+                head = V.raw(part)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(head), pa.array(np.full(len(own), COPY))], schema=FOUND)
+                continue
+            values, ask, answer = V.unpack_exact(part, dim), (role & ASKS) > 0, (role & ANSWERS) > 0
+            if ask.any() and answer.any():
+                a, c, s = scan(own[ask], values[ask], own[answer], values[answer], k, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
 
-    packed = df.mapInArrow(_packer(dim), "id long, v binary").join(groups, "id")
-    small = packed if not large else packed.join(F.broadcast(sizes.select("grp")), "grp", "left_anti")
-    found = small.select("grp", "id", "v").repartition("grp").sortWithinPartitions("grp").mapInArrow(by_group(0, within), "a long, b long, similarity double")
-    if large:
-        found = found.union(_in_large(df.join(groups.join(F.broadcast(sizes.select("grp")), "grp"), "id"), k, least, dim, scratch))
-    return found
+    ddl = "cell long, role byte, id long, v binary"
+    at_home = df.mapInArrow(settle, ddl).union(asked.join(df, "id").select("home", "id", "embedding").mapInArrow(fetch, ddl))
+    found = scratch.save(at_home.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, exact), FOUND_DDL))
+    scratch.drop(asked)
+    near = found.where(F.col("similarity") < COPY)
+    if max(b.max() for b in blocks) > 1:
+        near = _first(near, k)
+    late = found.where(F.col("similarity") == COPY).select(F.col("a").alias("id"), F.col("b").alias("a"))
+    if late.isEmpty():
+        return near
+    heads = near.union(late.select("a", F.col("a").alias("b"), F.lit(1.0)).distinct())
+    return near.union(_first(late.join(heads, "a").select(F.col("id").alias("a"), "b", "similarity"), k))
+
+
+def _top(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the k largest entries of each row that reach ``least``."""
+    hit = s >= least
+    many = np.count_nonzero(hit, axis=1)
+    full = np.flatnonzero(many > k)
+    if len(full) and k < s.shape[1]:
+        bound = np.partition(s[full], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        hit[full] = s[full] >= bound[:, None]
+    return np.divmod(np.flatnonzero(hit), s.shape[1])
 
 
 def nearest(df: DataFrame, k: int = 5, dim: int = 96, scratch: Scratch | None = None, asked: DataFrame | None = None) -> DataFrame:
@@ -160,7 +281,7 @@ def scan(ids: np.ndarray, values: np.ndarray, other_ids: np.ndarray, others: np.
 
 def _blocks(asking: int, rows: int) -> tuple[int, int]:
     """Into how many blocks so many asking rows and rows are cut: few for little traffic, enough of them for all cores."""
-    return -(-asking // BLOCK_ROWS), min(-(-rows // (BLOCK_ROWS // 4)), max(12, -(-rows // BLOCK_ROWS)))
+    return -(-asking // WIDE_ROWS), min(-(-rows // (WIDE_ROWS // 4)), max(12, -(-rows // WIDE_ROWS)))
 
 
 def _scanned(asking: DataFrame, rows: DataFrame, k: int, least: float, dim: int) -> DataFrame:
@@ -189,33 +310,3 @@ def _scanned(asking: DataFrame, rows: DataFrame, k: int, least: float, dim: int)
 def _first(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "similarity")
-
-
-def _in_large(df: DataFrame, k: int, least: float, dim: int, scratch: Scratch) -> DataFrame:
-    """As `neighbours`, for the rows of large groups (id, embedding, and grp unless all are one group): each group is compared with itself block by block.
-
-    Copies of one vector are represented by their k + 1 smallest ids, as no other copy can be among anyone's k nearest.
-    """
-    spark = df.sparkSession
-    if "grp" not in df.columns:
-        df = df.withColumn("grp", F.lit(0).cast("long"))
-    keyed = df.withColumn("key", F.sha2(F.to_json(F.struct("embedding")), 256))
-    copies = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"))
-    many = scratch.save(copies.where(F.col("n") > 1))
-    lead = scratch.save(keyed.select("key", "id").join(many, "key"))
-    firsts = scratch.save(
-        lead.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("some"))
-        .groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("first"))
-    )
-    single = keyed.join(many.select("key", "head"), "key", "left").where(F.col("head").isNull() | (F.col("head") == F.col("id"))).select("grp", "id", "embedding")
-    single = scratch.save(single.mapInArrow(_packer(dim), "grp long, id long, v binary"))
-    sizes = single.groupBy("grp").count().collect()  # at most rows / WHOLE_ROWS
-    cut = spark.createDataFrame([(r.grp, part, *_blocks(r["count"], r["count"])) for part, r in enumerate(sizes)], "grp long, part long, across long, down long")
-    cut = single.join(F.broadcast(cut), "grp")
-    near = _scanned(cut, cut, k, least, dim)
-    heads = many.select("head", "key").join(firsts, "key")
-    # A neighbour that stands for copies becomes its first k + 1 ids; a row that stands for copies gives its neighbours to every copy.
-    wide = near.join(heads.select(F.col("head").alias("b"), "first"), "b", "left").select("a", F.explode(F.coalesce("first", F.array("b"))).alias("b"), "similarity")
-    own = lead.join(firsts, "key").select(F.col("id").alias("a"), F.explode("first").alias("b"), F.lit(1.0).alias("similarity"))
-    given = lead.where(F.col("n") <= k).where(F.col("head") != F.col("id")).select(F.col("id"), F.col("head")).join(wide.withColumnRenamed("a", "head"), "head").select(F.col("id").alias("a"), "b", "similarity")
-    return _first(wide.union(own).union(given).where("a != b"), k)

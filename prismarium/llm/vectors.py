@@ -1,9 +1,9 @@
-"""What the vector operators share: usable rows, compact encoding, the hash-prefix forest and its cells.
+"""What the vector operators share: usable rows, compact encoding, the hash-prefix forest.
 
-Every tree of the forest has its own pivots, drawn from a bounded sample of the rows. The hash string of
-a row in a tree names the pivots in order of similarity; rows that share a prefix of their strings share
-a cell. A prefix is one pivot long, and longer (up to ``MAX_DEPTH``) below prefixes that the sample
-shows to be hot, so that a group holding a third of all rows is spread over many cells.
+Every tree of the forest has its own centres, fitted on a bounded sample of the rows. The hash string of a row in a
+tree names the centres in order of similarity; the tree is the array of all rows sorted by their strings, and
+rows that share a prefix lie together in it. All rows are counted by prefix, and a prefix that holds too many
+rows is continued by further digits, so prefixes are as long as the rows below them are many.
 """
 
 from __future__ import annotations
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from prismarium.operators.components import union_labels
 
-#: The pivots of a tree: one per CELL_ROWS rows, at most MAX_PIVOTS.
-CELL_ROWS, MAX_PIVOTS = 10_000, 4096
-#: Rows in the sample that gives pivots and shows hot prefixes, about; its size never exceeds twice this.
+#: Rows to a centre of a tree, about, and rows of the sample that a centre needs at least.
+CELL_ROWS, SAMPLED_PER_CENTRE = 2_000, 30
+#: Rows in the sample that gives centres, about; its size never exceeds twice this.
 SAMPLE_ROWS = 24_000
-#: A prefix with more rows than this, by the sample, gets longer.
-HOT_ROWS, MAX_DEPTH = 48_000, 3
+#: A prefix with more rows than this gets longer, up to so many digits.
+HOT_ROWS, DIGITS = 48_000, 5
+#: Steps of an ascent at most.
+PROBES = 8
+#: Centres with a cosine from here on divide one dense group.
+DENSE = 0.93
 #: Rows of a block of a similarity matrix.
 BLOCK = 256
 
@@ -97,60 +101,136 @@ def unpack_small(column: pa.Array, dim: int) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Pivots of one tree and its hot prefixes, each a tuple of pivots."""
-
-    pivots: np.ndarray
-    hot: list[set[tuple[int, ...]]]
-
-    def cells(self, units: np.ndarray) -> np.ndarray:
-        """The cell of each row: the shortest prefix of its hash string that is not hot, as a number."""
-        code = np.zeros(len(units), np.int64)
-        wide = len(self.pivots) + 1
-        for start in range(0, len(units), 4096):
-            s = units[start : start + 4096] @ self.pivots.T
-            first = s.argmax(1)
-            out = first + 1
-            if self.hot and self.hot[0]:
-                many = np.flatnonzero(np.isin(first, [p[0] for p in self.hot[0]]))
-                depth = min(MAX_DEPTH, len(self.pivots))
-                order = np.argsort(-s[many], axis=1, kind="stable")[:, :depth]
-                for row, digits in zip(many, order):
-                    value, prefix = 0, ()
-                    for level, digit in enumerate(digits):
-                        prefix += (int(digit),)
-                        value = value * wide + int(digit) + 1
-                        if level >= len(self.hot) or prefix not in self.hot[level]:
-                            break
-                    out[row] = value
-            code[start : start + 4096] = out
+    """One sorted array of the forest: its centres, which of them form one cell, and what is known of its prefixes.
+
+    The hash string of a row names the tree's cells in order of the row's similarity to them, up to ``DIGITS`` of them.
+    ``sizes`` holds the exact number of rows below each prefix of one digit, ``hot`` per length the prefixes that hold
+    more than HOT_ROWS rows and are therefore continued by another digit.
+    """
+
+    centres: np.ndarray
+    owner: np.ndarray
+    dense: np.ndarray
+    sizes: np.ndarray
+    hot: list[np.ndarray]
+
+    def strings(self, units: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``most`` digits of each row's hash string (cell numbers), and the similarities that order them."""
+        s = units @ self.centres.T
+        if len(self.dense) < len(self.owner):
+            s = np.maximum.reduceat(s, np.searchsorted(self.owner, np.arange(len(self.dense))), axis=1)
+        most = min(most, s.shape[1])
+        if most == 1:
+            first = s.argmax(1)[:, None]
+            return first, np.take_along_axis(s, first, 1)
+        digits = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+        value = np.take_along_axis(s, digits, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        return np.take_along_axis(digits, order, 1), np.take_along_axis(value, order, 1)
+
+    def prefixes(self, digits: np.ndarray, length: int | None = None) -> np.ndarray:
+        """Descends: the number of each string's shortest prefix that is not hot (or of the given length, 0 where a shorter one is not hot)."""
+        wide = len(self.dense) + 1
+        code = digits[:, 0].astype(np.int64) + 1
+        for level in range(1, digits.shape[1]):
+            if length == level or level > len(self.hot):
+                break
+            go = np.isin(code, self.hot[level - 1])
+            code = np.where(go, code * wide + digits[:, level] + 1, code if length is None else 0)
         return code
 
 
 class Forest:
-    """Trees fitted on a bounded sample of unit vectors that stand for ``rows`` rows. Every row is indexed, not the sample only."""
+    """Trees fitted on a bounded sample of unit vectors; every row is indexed, and counted exactly by `counted`.
+
+    A tree has one centre per CELL_ROWS rows, at least four, and no more than its sample can place. Centres that lie
+    closer to each other than DENSE form one cell: they divide one dense group, which no prefix cuts well.
+    """
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int, seed: int = 7, cell_rows: int | None = None, max_pivots: int = MAX_PIVOTS, hot_rows: int | None = None):
-        cell_rows, hot_rows = cell_rows or CELL_ROWS, hot_rows or HOT_ROWS
-        draw = np.random.default_rng(seed)
-        count = int(min(max(1, rows // cell_rows), max_pivots, len(sample)))
+    def __init__(self, centres: list[np.ndarray], dense: float | None = None):
         self.trees = []
-        for _ in range(min(trees, count) if count < 2 else trees):  # trees of one cell would be alike
-            tree = Tree(sample[draw.choice(len(sample), count, replace=False)], [])
-            share = rows / len(sample)
-            order = np.argsort(-(sample @ tree.pivots.T), axis=1, kind="stable")[:, : min(MAX_DEPTH, count)] if rows > hot_rows else np.zeros((0, 1), int)
-            rest = np.ones(len(order), bool)
-            for level in range(order.shape[1] - 1):
-                found, inverse, size = np.unique(order[rest, : level + 1], axis=0, return_inverse=True, return_counts=True)
-                big = size * share > hot_rows
-                tree.hot.append({tuple(map(int, x)) for x in found[big]})
-                rest[rest] = big[inverse.ravel()]
-                if not rest.any():
-                    break
-            self.trees.append(tree)
-
-    def cells(self, units: np.ndarray) -> list[np.ndarray]:
-        """Per tree, the cells of the rows; cells of different trees differ."""
-        return [tree.cells(units) * 64 + t for t, tree in enumerate(self.trees)]
+        for c in centres:
+            label = linked_labels(c, DENSE if dense is None else dense)
+            heads, owner, many = np.unique(label, return_inverse=True, return_counts=True)
+            order = np.argsort(owner, kind="stable")
+            self.trees.append(Tree(c[order], owner[order], many > 1, np.zeros(len(heads), np.int64), []))
+
+    @staticmethod
+    def fit(sample: np.ndarray, rows: int, trees: int, seed: int = 7) -> Forest:
+        if not len(sample):
+            return Forest([])
+        count = int(min(max(4, rows // CELL_ROWS), max(4, len(sample) // SAMPLED_PER_CENTRE), len(sample)))
+        return Forest([centroids(sample, count, seed + t) for t in range(trees)])
+
+    def counted(self, df: DataFrame, dim: int) -> Forest:
+        """Counts all rows of (id, embedding) by prefix: one digit for all, one more for what lies below a hot prefix.
+
+        What is kept is bounded: a number per cell, and a number per prefix with more than HOT_ROWS rows.
+        """
+        spark = df.sparkSession
+        for length in range(1, DIGITS + 1):
+            shared = spark.sparkContext.broadcast(self)
+
+            def count(batches: Iterator[pa.RecordBatch], length: int = length) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    _, values = matrix(b.column(1), dim)
+                    if len(values):
+                        for t, tree in enumerate(shared.value.trees):
+                            code = tree.prefixes(tree.strings(unit(values), length)[0], length)
+                            found, n = np.unique(code[code > 0], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t, np.int32)), pa.array(found), pa.array(n)], ["tree", "code", "n"])
+
+            sums = df.select("id", "embedding").mapInArrow(count, "tree int, code long, n long").groupBy("tree", "code").agg(F.sum("n").alias("n"))
+            got = (sums if length == 1 else sums.where(F.col("n") > HOT_ROWS)).toArrow()
+            shared.unpersist()
+            t, code, n = (got[c].to_numpy() for c in ("tree", "code", "n"))
+            for k, tree in enumerate(self.trees):
+                if length == 1:
+                    tree.sizes[code[t == k] - 1] = n[t == k]
+                    hot = np.flatnonzero((tree.sizes > HOT_ROWS) & ~tree.dense) + 1
+                else:
+                    hot = np.sort(code[t == k])
+                tree.hot.append(hot)
+            if not any(len(tree.hot[-1]) for tree in self.trees):
+                break
+        return self
+
+    def visits(self, units: np.ndarray, margin: float, enough: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Per tree and step of the ascent: (rows, prefix number). Step 0 is each row's own prefix.
+
+        A row ascends in all trees at once, each step adding to every tree the prefix that begins with the row's next
+        digit, until the prefixes hold ``enough`` rows together; prefixes within ``margin`` of the best are added in any case.
+        """
+        read = [tree.strings(units, PROBES + DIGITS) for tree in self.trees]
+        out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.trees]
+        held = np.zeros(len(units), np.int64)
+        for step in range(PROBES):
+            short = held < enough
+            gone = 0
+            for t, (tree, (digits, value)) in enumerate(zip(self.trees, read)):
+                if step >= digits.shape[1]:
+                    gone += 1
+                    continue
+                rows = np.flatnonzero(short | (value[:, step] >= value[:, 0] - margin))
+                string = np.concatenate([digits[rows, step : step + 1], digits[rows, :step], digits[rows, step + 1 :]], axis=1)[:, :DIGITS]
+                out[t].append((rows, tree.prefixes(string)))
+                held[rows] += tree.sizes[digits[rows, step]]
+            if gone == len(self.trees):
+                break
+        return out
+
+
+def centroids(sample: np.ndarray, count: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """Unit means that divide the sample: a few rounds of reassigning from drawn rows on."""
+    draw = np.random.default_rng(seed)
+    centres = sample[draw.choice(len(sample), count, replace=False)].copy()
+    for _ in range(rounds):
+        at = np.concatenate([(sample[x : x + 8192] @ centres.T).argmax(1) for x in range(0, len(sample), 8192)])
+        total = np.zeros_like(centres)
+        np.add.at(total, at, sample)
+        used = (np.abs(total) > 1e-9).any(1)
+        centres[used] = unit(total[used])
+    return centres
 
 
 def sample_units(df: DataFrame, dim: int, rows: int, seed: int = 7) -> np.ndarray:
@@ -169,16 +249,17 @@ def sample_units(df: DataFrame, dim: int, rows: int, seed: int = 7) -> np.ndarra
     return unpack_small(got["v"].combine_chunks(), dim)[: 2 * SAMPLE_ROWS]
 
 
-def linked_labels(units: np.ndarray, least: float) -> np.ndarray:
-    """For each row the first row of its group, groups being joined by pairs with a cosine of at least ``least``.
+def linked_labels(units: np.ndarray, least: float, own: int | None = None) -> np.ndarray:
+    """For each row the first row of its group, groups being joined by pairs with a cosine of at least ``least``, one of each among the first ``own`` rows if given.
 
     Pairs are used block by block and never kept, so a cell in which everything is similar needs no more memory: of a
     dense block every column gives one link, and only hits between rows that are still apart are looked at again.
     """
     n = len(units)
     label = np.arange(n)
-    for start in range(0, n, BLOCK):
-        hit = units[start : start + BLOCK] @ units[start:].T >= least
+    own = n if own is None else own
+    for start in range(0, own, BLOCK):
+        hit = units[start : min(start + BLOCK, own)] @ units[start:].T >= least
         rows = np.arange(start, start + len(hit))
         while True:
             if np.count_nonzero(hit) <= 8 * hit.shape[1]:

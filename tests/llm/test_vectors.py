@@ -4,11 +4,10 @@ import pytest
 
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
-from prismarium.llm.linking import ward
-from prismarium.llm.neighbours import _in_large, best, nearest, neighbours, offers, scan
+from prismarium.llm.features import FeatureTree, agglomerate, leaves
+from prismarium.llm.neighbours import copies, nearest, neighbours, offers, scan, spots
 from prismarium.operators.components import union_labels
 from prismarium.operators.grouped import by_group
-from prismarium.session import Scratch
 
 DIM = 16
 KIND = "id long, embedding array<float>, other string"
@@ -89,21 +88,25 @@ def test_neighbours_of_nothing(spark, odd):
     assert neighbours(spark.createDataFrame(points(1, 2), KIND), 5, 0.8, DIM).count() == 0
 
 
-def test_a_large_group_is_searched_by_cells(spark):
+@pytest.mark.parametrize("block", [200, 100_000])
+def test_a_dense_group_is_searched_by_blocks(spark, block, monkeypatch):
+    from prismarium.llm import neighbours as N
+
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     draw = np.random.default_rng(2)
     centre = V.unit(draw.normal(size=(1, DIM)))[0]
     rows = [(k, [float(x) for x in np.float32(centre + draw.normal(size=DIM) * 0.05)], "") for k in range(900)]
     rows += [(2000 + k, rows[0][1], "") for k in range(300)] + [(3000 + k, rows[1][1], "") for k in range(2)]
-    found = {(r.a, r.b) for r in _in_large(spark.createDataFrame(rows, KIND).select("id", "embedding"), 5, 0.8, DIM, Scratch(spark)).collect()}
-    true = brute(rows, 5, 0.8)
-    assert len(found & true) >= 0.9 * len(true)
-    assert {b for a, b in found if a == 2100} == {0, 2000, 2001, 2002, 2003}
+    got = [(r.a, r.b) for r in neighbours(spark.createDataFrame(rows, KIND).repartition(3), 5, 0.8, DIM).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 5, 0.8)
+    assert {b for a, b in got if a == 2100} == {0, 2000, 2001, 2002, 2003}
 
 
-def test_a_large_group_keeps_its_recall(spark, monkeypatch):
+@pytest.mark.parametrize("block", [8_000, 100_000])
+def test_a_large_group_keeps_its_recall(spark, block, monkeypatch):
     from prismarium.llm import neighbours as N
 
-    monkeypatch.setattr(N, "WHOLE_ROWS", 500)
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     draw = np.random.default_rng(11)  # a third of all rows in one identity, too wide for the cells of a few trees
     n, centre = 60_000, V.unit(draw.normal(size=(1, 96)))[0]
     one = np.float16(centre + draw.normal(size=(n // 3, 96)) * 0.035).astype(np.float32)
@@ -118,6 +121,28 @@ def test_a_large_group_keeps_its_recall(spark, monkeypatch):
     assert len(true) > 1000 and len(got & true) >= 0.999 * len(true)
 
 
+def test_late_copies_of_a_batch():
+    values = np.array([[1.0, 0], [0, 1], [1, 0], [1, 0], [1, 0]], np.float32)
+    late, head = copies(np.array([9, 1, 3, 7, 5]), values, 2)
+    assert late.tolist() == [0] and head.tolist() == [3]
+    late, head = copies(np.array([9, 1, 3, 7, 5]), values, 0)
+    assert sorted(late.tolist()) == [0, 3, 4] and set(head.tolist()) == {3} and not len(copies(np.arange(5), values, 3)[0])
+
+
+def test_squares_of_a_dense_prefix_bring_every_pair_together():
+    ids = np.arange(500)
+    blocks = np.array([1, 3, 1])
+    code = np.where(ids < 400, 1, 2)
+    row, cell, role = spots(code, 0, blocks, ids, 3)
+    met = set()
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        met |= {(int(a), int(b)) for a in row[at][(role[at] & 1) > 0] for b in row[at][(role[at] & 2) > 0]}
+    assert met == {(a, b) for a in range(500) for b in range(500) if (a < 400) == (b < 400)}
+    asks, _, only = spots(code, 0, blocks, ids, 1)
+    assert len(asks) == 400 * 3 + 100 and set(only.tolist()) == {1}
+
+
 def test_scan_is_exact_over_blocks():
     draw = np.random.default_rng(12)
     values = np.float32(draw.normal(size=(9000, DIM)))
@@ -133,28 +158,45 @@ def test_scan_is_exact_over_blocks():
     assert len(a) == 3000 and not len(scan(ids[:5], values[:5], ids[:5], values[:5], 5, 1.1)[0])
 
 
-def test_hot_copies_are_linked_without_comparing(spark, monkeypatch):
-    from prismarium.llm import linking
-
-    monkeypatch.setattr(V, "HOT_ROWS", 50)
+def test_copies_are_linked_without_comparing(spark):
     rows = points(20, 6) + [(7000 + k, points(1, 2, seed=9)[0][1], "") for k in range(400)]
     df = spark.createDataFrame(rows, KIND).repartition(4)
-    sample, hot = linking.hot_copies(df, DIM, len(rows))
-    assert len(hot) == 1 and len(sample)
     got = clusters(df, 0.75, 5, DIM).where("member >= 7000").groupBy("cluster_id").count().collect()
     assert [r["count"] for r in got] == [400]
 
 
-def test_cells_are_stable_and_hot_prefixes_deepen():
+def test_copies_keep_their_group(spark):
+    rows = points(6, 14, seed=5)
+    rows += [(8000 + k, rows[k][1], "") for k in range(len(rows))]
+    got = {r.member: r.cluster_id for r in clusters(spark.createDataFrame(rows, KIND).coalesce(1), 0.75, 5, DIM).collect()}
+    assert all(got[8000 + k] == got[rows[k][0]] for k in range(len(rows) // 2) if rows[k][0] in got) and len(got) > 50
+
+
+def test_strings_are_stable_and_hot_prefixes_deepen(spark, monkeypatch):
     draw = np.random.default_rng(3)
     units = V.unit(draw.normal(size=(3000, DIM)).astype(np.float32))
-    plain = V.Forest(units, 3000, 2, cell_rows=600, hot_rows=10**9)
-    deep = V.Forest(units, 3000, 2, cell_rows=1000, hot_rows=200)
-    assert len(V.Forest(units, 3000, 3).trees) == 1 and not V.Forest(units[:0], 0, 3).trees
+    df = spark.createDataFrame([(k, v.tolist(), "") for k, v in enumerate(units)], KIND)
+    monkeypatch.setattr(V, "CELL_ROWS", 600)
+    plain = V.Forest.fit(units, 3000, 2).counted(df, DIM)
+    monkeypatch.setattr(V, "HOT_ROWS", 200)
+    deep = V.Forest.fit(units, 3000, 2).counted(df, DIM)
+    assert not V.Forest.fit(units[:0], 0, 3).trees and len(V.Forest.fit(units, 3000, 3).trees[0].centres) == 5
     for forest in (plain, deep):
-        a, b = forest.cells(units), forest.cells(units[::-1])
-        assert all((x == y[::-1]).all() for x, y in zip(a, b)) and len(a) == 2 and not set(a[0]) & set(a[1])
-    assert max(np.bincount(np.unique(deep.cells(units)[0], return_inverse=True)[1])) <= 700 and deep.trees[0].hot[0]
+        assert [t.sizes.sum() for t in forest.trees] == [3000, 3000]
+        a, b = forest.visits(units, 0.0, 1), forest.visits(units[::-1], 0.0, 1)
+        assert all((x[0][1] == y[0][1][::-1]).all() for x, y in zip(a, b)) and all(len(x[0][0]) == 3000 for x in a)
+    most = [max(np.unique(f.visits(units, 0.0, 1)[0][0][1], return_counts=True)[1]) for f in (plain, deep)]
+    assert most[0] == plain.trees[0].sizes.max() and most[1] <= 200 < most[0] and len(deep.trees[0].hot[0])
+    everything = plain.visits(units, 0.0, 6000)  # an ascent in both trees at once goes on until both hold all rows
+    assert all(sum(len(rows) for rows, _ in steps) == 5 * 3000 for steps in everything)
+
+
+def test_centres_of_one_dense_group_form_one_cell():
+    draw = np.random.default_rng(4)
+    centre = V.unit(draw.normal(size=(1, DIM)))
+    dense = V.unit((centre + draw.normal(size=(6, DIM)) * 0.03).astype(np.float32))
+    tree = V.Forest([np.concatenate([dense, V.unit(draw.normal(size=(4, DIM)).astype(np.float32))])]).trees[0]
+    assert tree.dense.sum() == 1 and len(tree.dense) == 5 and tree.strings(dense, 1)[0].ravel().tolist() == [int(np.flatnonzero(tree.dense)[0])] * 6
 
 
 def test_groups_arrive_whole():
@@ -205,12 +247,30 @@ def test_typical_members(spark):
         assert [got[c, k + 1] for k in range(3)] == [(b, len(ids)) for b in best]
 
 
-def test_ward_merges_only_what_surely_links():
-    a = np.array([[1.0, 0], [0.99, 0.1], [0, 1.0], [0.7, 0.7]], np.float32)
-    assert ward(a, np.ones(4), 0.9).tolist() == [0, 0, 2, 3]
-    assert ward(a, np.ones(4), 0.65).tolist() == [0, 0, 2, 2] or ward(a, np.ones(4), 0.65)[3] in (0, 2)
-    assert ward(np.ones((5, 2), np.float32), np.ones(5), 0.5).tolist() == [0] * 5
-    assert ward(np.zeros((0, 2), np.float32), np.zeros(0), 0.5).tolist() == []
+def test_ward_joins_the_nearest_first():
+    a = np.array([[1.0, 0], [0.99, 0.1], [0, 1.0], [0.1, 0.9], [-1, 0]])
+    assert agglomerate(a, np.ones(5), 3).tolist() == [0, 0, 2, 2, 4] and agglomerate(a, np.ones(5), 9).tolist() == [0, 1, 2, 3, 4]
+    assert agglomerate(a * 50, np.full(5, 50.0), 3).tolist() == [0, 0, 2, 2, 4] and agglomerate(np.ones((5, 2)), np.ones(5), 1).tolist() == [0] * 5
+    assert agglomerate(np.zeros((0, 2)), np.zeros(0), 3).tolist() == []
+
+
+def test_feature_trees_are_bounded_and_merge(spark):
+    draw = np.random.default_rng(6)
+    centres = V.unit(draw.normal(size=(40, DIM)))
+    units = V.unit(centres[draw.integers(0, 40, 4000)] + draw.normal(size=(4000, DIM)) * 0.02)
+    whole, parts = FeatureTree(DIM, 100), [FeatureTree(DIM, 100) for _ in range(2)]
+    whole.add(units, np.ones(4000))
+    for k, tree in enumerate(parts):
+        tree.add(units[k::2], np.ones(2000))
+    parts[0].add(parts[1].total, parts[1].n)
+    for tree in (whole, parts[0]):
+        assert len(tree.n) <= 100 and tree.n.sum() == 4000 and np.allclose(tree.total.sum(0), units.sum(0))
+        assert np.allclose(np.array([tree.total[tree.node == k].sum(0) for k in range(len(tree.inner))]), tree.inner)
+        assert (centres @ V.unit(tree.total).T).max(1).min() > 0.9
+    df = spark.createDataFrame([(k, v.tolist(), "") for k, v in enumerate(units)], KIND).repartition(20)
+    total, n = leaves(df, DIM, 60)
+    assert len(n) <= 60 and n.sum() == 4000 and np.allclose(total.sum(0), units.sum(0), atol=1e-2)
+    assert not len(leaves(spark.createDataFrame([], KIND), DIM)[1])
 
 
 def test_linking_of_dense_and_sparse_cells():
@@ -220,15 +280,18 @@ def test_linking_of_dense_and_sparse_cells():
         units = V.unit((centres[draw.integers(0, 5, n)] + draw.normal(size=(n, DIM)) * noise).astype(np.float32))
         i, j = np.nonzero(np.triu(units @ units.T >= 0.8, 1))
         assert V.linked_labels(units, 0.8).tolist() == union_labels(n, i, j).tolist()
+        own = np.flatnonzero(i < n // 3)
+        assert V.linked_labels(units, 0.8, n // 3).tolist() == union_labels(n, i[own], j[own]).tolist()
     assert V.linked_labels(np.zeros((0, DIM), np.float32), 0.8).tolist() == []
 
 
-def test_ties_and_partitions_agree_with_sorting():
+def test_ties_go_to_the_smaller_id():
     draw = np.random.default_rng(9)
     units = V.unit(draw.integers(-1, 2, (60, 3)).astype(np.float64) + 1e-12, np.float64)
     ids = draw.permutation(60)
     rows = [(int(i), v.tolist() + [0.0] * (DIM - 3), "") for i, v in zip(ids, units)]
-    a, b, _ = best(ids[None], units[None], 5, 0.5)
+    values = np.array([r[1] for r in rows], np.float32)
+    a, b, _ = scan(ids, values, ids, values, 5, 0.5)
     assert set(zip(a.tolist(), b.tolist())) == brute([r for r in rows if any(r[1])], 5, 0.5)
 
 
