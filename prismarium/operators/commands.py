@@ -5,11 +5,12 @@ Commands carry ``seq``; ties are settled by the other columns' order. A null key
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.functions.paths import basename
 from prismarium.schemas import CASCADES, DDL, SET_NULL, conform
+from prismarium.session import Scratch
 
 
 def latest(commands: DataFrame, *key: str) -> DataFrame:
@@ -25,21 +26,23 @@ def earliest(commands: DataFrame, *key: str) -> DataFrame:
     return first.select(*key, "c.seq", *(f"c.{c}" for c in rest))
 
 
-def with_ids(rows: DataFrame, base: DataFrame, order: list[str]) -> DataFrame:
+def with_ids(rows: DataFrame, base: DataFrame, order: list[str], scratch: Scratch | None = None) -> DataFrame:
     """``rows`` with ids after the largest of ``base``, in an order that need not fit in one task.
 
-    Row numbers are counted per range partition and shifted by what comes before it.
+    The rows are ranged, sorted and stored once with their place in their partition; a place is then shifted by what the
+    partitions before it hold. Counting and numbering read the same stored rows, so that ids neither repeat nor leave gaps.
     """
+    scratch = scratch or Scratch(rows.sparkSession)
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    placed = ranged.sortWithinPartitions(*order).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch.save(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # one row per task
-    before, total = [], 0
+    before, total = [], top + 1
     for part in sorted(counts):
-        before += [F.lit(part), F.lit(total)]
+        before.append((part, total))
         total += counts[part]
-    shift = F.create_map(*before)[F.col("_part")] if before else F.lit(0)
-    return placed.withColumn("id", (F.col("_n") + shift + F.lit(top)).cast("long")).drop("_part", "_n")
+    shift = F.broadcast(rows.sparkSession.createDataFrame(before, "_part int, _before long"))
+    return placed.join(shift, "_part").withColumn("id", F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def insert_images(base: DataFrame, new: DataFrame, now: int) -> DataFrame:

@@ -14,7 +14,7 @@ from prismarium.functions import col
 from prismarium.functions.geometry import real_face
 
 #: Rows of a block of queries and of a block of known faces (a task compares one block with one), and queries in one matrix product.
-QUERY_BLOCK, KNOWN_BLOCK, AT_ONCE = 20_000, 20_000, 500
+QUERY_BLOCK, KNOWN_BLOCK, AT_ONCE = 50_000, 50_000, 500
 PAIRS = "query_id long, person_id long, similarity double"
 
 
@@ -62,11 +62,12 @@ def _blocks(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")), count
 
 
-def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: float | None) -> DataFrame:
-    """(query_id, person_id, similarity): the highest similarity of every query (query_id, embedding) to the faces of each person.
+def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: float | None, k: int | None = None) -> DataFrame:
+    """(query_id, person_id, similarity): the highest similarity of every query (query_id, embedding) to the faces of each person; with ``k`` at least to its k best persons.
 
     ``known`` has person_id and embedding. Blocks of queries meet blocks of known faces, so neither side has to fit
-    in a task; a block's matrix product is reduced to one value per query and person before it is shuffled.
+    in a task, and a side that is one block travels no more than the other has blocks. A block's matrix product is
+    reduced to one value per query and person, and to the k best persons of the block, as the k best of all are among them.
     Vectors of another length than ``dim`` and ones that are not finite count as unlike everything and are left out.
     """
     valid = (F.size("embedding") == dim) & finite("embedding")
@@ -86,7 +87,11 @@ def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: f
         asked, faces_t, parts = ids[q], np.ascontiguousarray(v[k][order].T), []
         for at in range(0, len(asked), AT_ONCE):
             best = np.maximum.reduceat(v[q][at : at + AT_ONCE] @ faces_t, start, axis=1)
-            r, c = np.nonzero(np.ones(best.shape, bool) if threshold is None else best >= threshold - 1e-9)
+            good = np.ones(best.shape, bool) if threshold is None else best >= threshold - 1e-9
+            if k is not None and k < best.shape[1]:
+                last = np.partition(best, best.shape[1] - max(k, 1), axis=1)[:, best.shape[1] - max(k, 1)]
+                good &= best >= last[:, None] - 2e-9  # ties with the k-th stay
+            r, c = np.nonzero(good)
             parts.append((asked[at : at + AT_ONCE][r], persons[c], best[r, c]))
         return pa.table(dict(zip(("query_id", "person_id", "similarity"), map(np.concatenate, zip(*parts)))))
 
@@ -101,7 +106,7 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def best_matches(queries: DataFrame, known: DataFrame, dim: int, threshold: float, k: int) -> DataFrame:
     """(query_id, rank, person_id, similarity): the k persons most similar to each query, at or above the threshold; none for k = 0."""
-    return _ranked(best_per_person(queries, known, dim, threshold), k).select("query_id", "rank", "person_id", "similarity")
+    return _ranked(best_per_person(queries, known, dim, threshold, k), k).select("query_id", "rank", "person_id", "similarity")
 
 
 def top_k(queries: DataFrame, known: DataFrame, persons: DataFrame, dim: int, k: int) -> DataFrame:
@@ -111,7 +116,7 @@ def top_k(queries: DataFrame, known: DataFrame, persons: DataFrame, dim: int, k:
     first unscored persons by id can be among anyone's k, so no more are joined to a query.
     """
     who = persons.select(F.col("id").alias("person_id"), "name")
-    scored = _ranked(best_per_person(queries, known, dim, None), k).select("query_id", "person_id", "similarity")
+    scored = _ranked(best_per_person(queries, known, dim, None, k), k).select("query_id", "person_id", "similarity")
     valid = (F.size("embedding") == dim) & finite("embedding")
     with_faces = known.where(valid).select("person_id").distinct()
     unscored = [r.person_id for r in who.join(with_faces, "person_id", "left_anti").orderBy("person_id").limit(k).collect()]  # k rows at most

@@ -56,6 +56,23 @@ def test_descriptions_last_wins_and_ids_stay(spark, rows):
     assert rows(commands.upsert_descriptions(base, log)) == [(10, 1, "m", "newest", 6), (11, 2, "m", "other", 7)]
 
 
+@pytest.mark.parametrize("parts", [8, 64])
+def test_ids_of_a_million_rows_are_exactly_1_to_n(spark, parts):
+    n = 1_000_000
+    rows = spark.range(0, n, 1, parts).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("seq"), F.concat(F.lit("/p/"), F.col("id").cast("string"), F.lit("x" * 40)).alias("path"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")  # adaptive execution brings these together differently in every plan
+    try:
+        out = commands.with_ids(rows, spark.createDataFrame([(0,)], "id long"), ["seq", "path"]).cache()
+        got = out.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+        assert tuple(got) == (n, n, 1, n, 0)
+        seqs = out.groupBy("seq").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy("seq").collect()
+        assert all(r.high - r.low + 1 == r.n for r in seqs) and all(a.high + 1 == b.low for a, b in zip(seqs, seqs[1:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert commands.with_ids(rows.limit(0), spark.createDataFrame([(7,)], "id long"), ["seq", "path"]).count() == 0
+
+
 def test_persons_and_names(spark, rows, faces):
     persons = spark.createDataFrame([(7, "Ann", 0)], DDL["persons"])
     log = spark.createDataFrame([(1, 2, "Bo"), (2, 3, None), (3, 2, "Ann"), (4, 4, "Bo")], "seq long, id long, name string")
