@@ -24,6 +24,18 @@ def bits_for(n: int) -> int:
     return max(MIN_BITS, optimal_bits(n))
 
 
+def bits_column(n: Column | str) -> Column:
+    """`bits_for` of a column of counts."""
+    whole = F.ceil(col(n) * BITS_PER_ITEM).cast("long")
+    power = F.when(whole <= 1, F.lit(0)).otherwise(F.length(F.bin(whole - 1)))
+    return F.when(col(n) == 0, F.lit(MIN_BITS).cast("long")).otherwise(F.greatest(F.lit(MIN_BITS).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), power)))
+
+
+def too_full(n: Column | int, bits: Column | int) -> Column | bool:
+    """Whether a filter of so many bits is to be built anew when it holds n entries."""
+    return (col(n) if isinstance(n, str) else n) * REBUILD > bits
+
+
 def position_column(digest: Column | str, bits: int) -> Column:
     """Array of the probes' bit positions. The number of bits is a power of two, so halves of the digest are masked before they are multiplied."""
 
@@ -53,3 +65,31 @@ class Bloom:
 
     def __contains__(self, digest: bytes) -> bool:
         return bool(self.words[positions(np.frombuffer(digest, np.uint8).reshape(1, 32), self.bits)].all())
+
+    def add(self, digests: Iterable[bytes]) -> None:
+        rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+        self.words[positions(rows, self.bits).ravel()] = True
+
+
+class SeenSet:
+    """Hashes in the order they came, repeated ones kept, with a filter that is built anew when it is too full for them."""
+
+    def __init__(self, digests: Iterable[bytes] = ()):
+        self.entries = list(digests)
+        self.bloom = Bloom(self.entries)
+
+    def insert(self, digest: bytes) -> None:
+        self.entries.append(digest)
+        if too_full(len(self.entries), self.bloom.bits):
+            self.bloom = Bloom(self.entries)
+        else:
+            self.bloom.add([digest])
+
+    def probably_contains(self, digest: bytes) -> bool:
+        return digest in self.bloom
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+    def is_empty(self) -> bool:
+        return not self.entries

@@ -18,6 +18,11 @@ def with_counts(collections: DataFrame, members: DataFrame) -> DataFrame:
     return counted.select("id", "name", F.coalesce("color", F.lit(DEFAULT_COLOR)).alias("color"), "created_at", F.coalesce("image_count", F.lit(0)).alias("image_count")).orderBy("name", "id")
 
 
+def by_id(collections: DataFrame, members: DataFrame, collection_id: int) -> DataFrame:
+    """The row of `with_counts` for one collection, if there is one."""
+    return with_counts(collections.where(F.col("id") == collection_id), members.where(F.col("collection_id") == collection_id))
+
+
 def of_images(collections: DataFrame, members: DataFrame) -> DataFrame:
     """(image_id, id, name, image_count): for every image the collections that hold it."""
     pairs = members.select("image_id", F.col("collection_id").alias("id")).where("image_id is not null").distinct()

@@ -47,6 +47,12 @@ def boxes_from(anchors: np.ndarray, distances: np.ndarray) -> np.ndarray:
     return np.concatenate([anchors - distances[:, :2], anchors + distances[:, 2:]], 1)
 
 
+def box_columns(anchor: Sequence[Column | str], distances: Sequence[Column | str]) -> list[Column]:
+    """As `boxes_from`, of columns."""
+    (x, y), (left, top, right, bottom) = (col(c) for c in anchor), (col(c) for c in distances)
+    return [x - left, y - top, x + right, y + bottom]
+
+
 def points_from(anchors: np.ndarray, distances: np.ndarray) -> np.ndarray:
     return distances + np.tile(anchors, distances.shape[1] // 2)
 

@@ -62,12 +62,12 @@ def _blocks(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")), count
 
 
-def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: float | None, k: int | None = None) -> DataFrame:
-    """(query_id, person_id, similarity): the highest similarity of every query (query_id, embedding) to the faces of each person; with ``k`` at least to its k best persons.
+def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: float | None, most: int | None = None) -> DataFrame:
+    """(query_id, person_id, similarity): the highest similarity of every query (query_id, embedding) to the faces of each person; with ``most`` at least to so many of the best persons.
 
     ``known`` has person_id and embedding. Blocks of queries meet blocks of known faces, so neither side has to fit
     in a task, and a side that is one block travels no more than the other has blocks. A block's matrix product is
-    reduced to one value per query and person, and to the k best persons of the block, as the k best of all are among them.
+    reduced to one value per query and person, and to the block's best persons, as the best of all are among them.
     Vectors of another length than ``dim`` and ones that are not finite count as unlike everything and are left out.
     """
     valid = (F.size("embedding") == dim) & finite("embedding")
@@ -88,8 +88,8 @@ def best_per_person(queries: DataFrame, known: DataFrame, dim: int, threshold: f
         for at in range(0, len(asked), AT_ONCE):
             best = np.maximum.reduceat(v[q][at : at + AT_ONCE] @ faces_t, start, axis=1)
             good = np.ones(best.shape, bool) if threshold is None else best >= threshold - 1e-9
-            if k is not None and k < best.shape[1]:
-                last = np.partition(best, best.shape[1] - max(k, 1), axis=1)[:, best.shape[1] - max(k, 1)]
+            if most is not None and most < best.shape[1]:
+                last = np.partition(best, best.shape[1] - max(most, 1), axis=1)[:, best.shape[1] - max(most, 1)]
                 good &= best >= last[:, None] - 2e-9  # ties with the k-th stay
             r, c = np.nonzero(good)
             parts.append((asked[at : at + AT_ONCE][r], persons[c], best[r, c]))
@@ -149,3 +149,9 @@ def tagging_progress(faces: DataFrame) -> DataFrame:
 def next_untagged(faces: DataFrame) -> DataFrame:
     """(image_id, face_id): each image's first real face without a person."""
     return faces.where(real_face() & F.col("person_id").isNull() & F.col("image_id").isNotNull()).groupBy("image_id").agg(F.min("id").alias("face_id"))
+
+
+def next_untagged_index(faces: DataFrame, start: Column) -> DataFrame:
+    """(image_id, idx): the first index, counted from 0 by id among all of an image's faces, at or after ``start`` whose face is real and has no person."""
+    placed = faces.where("image_id is not null").withColumn("idx", F.row_number().over(Window.partitionBy("image_id").orderBy("id")).cast("long") - 1)
+    return placed.where((F.col("idx") >= start) & real_face() & F.col("person_id").isNull()).groupBy("image_id").agg(F.min("idx").alias("idx"))

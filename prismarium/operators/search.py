@@ -48,6 +48,12 @@ def fts_query(text: str) -> str:
     return " ".join('"' + t.replace('"', '""') + '"*' for t in text.split())
 
 
+def fts_column(text: Column | str) -> Column:
+    """As `fts_query`, of a column."""
+    words = F.filter(F.split(F.trim(col(text)), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"*'))), " ")
+
+
 def escape_like(token: str, escape: str = "\\") -> str:
     """Lower case, with wildcards and the escape character escaped."""
     for c in (escape, "%", "_"):

@@ -27,10 +27,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from prismarium.plans import changes, pieces  # noqa: F401 - they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -314,7 +317,17 @@ def clamped_boxes(spark, d):
     return rows.select("id", geometry.clamp01(F.col("bbox_x1") * 2 - 0.5).alias("x1"), geometry.clamp01(F.col("bbox_y2") * 2 - 0.5).alias("y2"))
 
 
-@query()
+_BOXES = ", ".join(f"bbox_{c} * 1000 AS {c}" for c in ("x1", "y1", "x2", "y2"))
+_SHARED = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0)"
+_AREA = "({0}.x2 - {0}.x1 + 1) * ({0}.y2 - {0}.y1 + 1)".format
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT image_id, id, {_BOXES}, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, id) AS r FROM face_detections
+        WHERE {_REAL} AND image_id IS NOT NULL AND bbox_x1 IS NOT NULL AND bbox_y1 IS NOT NULL AND bbox_x2 IS NOT NULL AND bbox_y2 IS NOT NULL),
+    o AS (SELECT a.image_id, b.r, list(a.r) AS over FROM f a JOIN f b ON a.image_id = b.image_id AND a.r < b.r WHERE {_SHARED} / ({_AREA('a')} + {_AREA('b')} - {_SHARED}) > 0.5 GROUP BY 1, 2),
+    s AS (SELECT image_id, r, [r] AS kept FROM f WHERE r = 1 UNION ALL SELECT f.image_id, f.r, CASE WHEN len(list_intersect(s.kept, coalesce(o.over, []))) > 0 THEN s.kept ELSE list_append(s.kept, f.r) END
+        FROM s JOIN f ON f.image_id = s.image_id AND f.r = s.r + 1 LEFT JOIN o ON o.image_id = f.image_id AND o.r = f.r)
+    SELECT f.image_id, f.id FROM f JOIN s ON s.image_id = f.image_id AND s.r = f.r WHERE list_contains(s.kept, f.r)""")
 def suppressed_faces(spark, d):
     """Non-maximum suppression within every image, boxes in thousandths of the picture."""
     rows = t(spark, d, "face_detections").where(geometry.real_face())
@@ -383,7 +396,10 @@ def bloom_positions(spark, d):
     return rows.select("id", F.col("pos").alias("probe"), F.col("col").alias("position"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT greatest(8192, 1::BIGINT << length(bin(ceil(count(*) * 9.585)::BIGINT - 1))::BIGINT) AS bits FROM images WHERE status = 'missing'),
+    x AS (SELECT id, coalesce(status = 'missing', false) AS gone, hex(hash) AS h FROM images WHERE octet_length(hash) = 32), y AS (SELECT id, gone, {_le(1)} AS a, ({_le(9)} | 1::UBIGINT) AS b FROM x),
+    p AS (SELECT id, gone, (a::HUGEINT + i::HUGEINT * b::HUGEINT) % bits AS place FROM y, c, (SELECT unnest(range(7)) AS i))
+    SELECT id FROM p WHERE place IN (SELECT place FROM p WHERE gone) GROUP BY id HAVING count(*) = 7""")
 def bloom_seen(spark, d):
     """Images of any status whose content the bloom filter of missing ones may hold."""
     rows = t(spark, d, "images")
@@ -456,7 +472,18 @@ def exif_folder(spark, d):
     return rows.select("id", files.target_dir("/out", "%Y/%m", "taken").alias("dir"))
 
 
-@query()
+_DATED = "CASE WHEN taken_at IS NULL THEN '/out' ELSE '/out/' || strftime(make_timestamp(taken_at * 1000000), '%Y/%m') END"
+_SUFFIX = rf"CASE WHEN {_BASE} LIKE '_%.%' THEN '.' || regexp_extract({_BASE}, '^.+\.([^.]*)$', 1) ELSE '' END"
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT id, path, {_DATED} AS dir, {_BASE} AS name, {_STEM} AS stem, {_SUFFIX} AS ext FROM images WHERE path IS NOT NULL),
+    old AS (SELECT DISTINCT {_DATED} AS dir, regexp_replace(raw_path, '^.*/', '') AS name FROM images WHERE path IS NOT NULL AND raw_path IS NOT NULL),
+    k AS (SELECT *, regexp_replace({_LOW('stem')}, '(_\d+)+$', '') AS meet FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY dir, meet ORDER BY id, path) AS r FROM k),
+    there AS (SELECT dir, regexp_replace({_LOW(_STEM.replace('path', 'name'))}, '(_\d+)+$', '') AS meet, list(name) AS names FROM old GROUP BY 1, 2),
+    s AS (SELECT dir, meet, 0::BIGINT AS r, coalesce(names, []) AS used, NULL::VARCHAR AS source FROM (SELECT DISTINCT dir, meet FROM k) LEFT JOIN there USING (dir, meet)
+        UNION ALL SELECT r.dir, r.meet, r.r, list_append(s.used, list_filter(list_prepend(r.name, list_transform(range(1, len(s.used) + 2), lambda i: r.stem || '_' || i || r.ext)), lambda x: NOT list_contains(s.used, x))[1]), r.path
+        FROM s JOIN r ON r.dir = s.dir AND r.meet = s.meet AND r.r = s.r + 1)
+    SELECT source, dir || '/' || used[-1] AS target FROM s WHERE source IS NOT NULL""")
 def copy_plan(spark, d):
     """Targets of all image files below dated folders, beside the raw files that are there."""
     rows = t(spark, d, "images").where("path is not null").withColumn("taken", dates.exif_text("taken_at"))
@@ -526,18 +553,33 @@ def window_sizes(spark, d):
 # --- changes as commands -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT image_id, model_id, arg_max(description, (created_at, id)) AS description FROM ai_descriptions WHERE image_id IS NOT NULL AND model_id IS NOT NULL GROUP BY 1, 2")
+def halves(df: DataFrame, time: str) -> tuple[DataFrame, DataFrame]:
+    """What was there before the table's mean time, and all other rows, which come to it."""
+    mean = df.agg(F.avg(time)).first()[0]
+    old = F.coalesce(F.col(time) < F.lit(mean), F.lit(False))
+    return df.where(old), df.where(~old)
+
+
+def halves_sql(table: str, time: str) -> str:
+    return f"b AS (SELECT * FROM {table} WHERE {time} < (SELECT avg({time}) FROM {table})), n AS (SELECT * FROM {table} WHERE NOT coalesce({time} < (SELECT avg({time}) FROM {table}), false))"
+
+
+@query(f"""WITH {halves_sql('ai_descriptions', 'created_at')}, l AS (SELECT * FROM n WHERE image_id IS NOT NULL AND model_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id, model_id ORDER BY created_at DESC, id DESC) = 1)
+    SELECT b.id, b.image_id, b.model_id, CASE WHEN l.id IS NULL THEN b.description ELSE l.description END AS description, CASE WHEN l.id IS NULL THEN b.created_at ELSE l.created_at END AS created_at FROM b LEFT JOIN l ON l.image_id = b.image_id AND l.model_id = b.model_id
+    UNION ALL SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY created_at, id), image_id, model_id, description, created_at FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.image_id = l.image_id AND b.model_id = l.model_id)""")
 def description_upsert(spark, d):
-    said = t(spark, d, "ai_descriptions")
-    log = said.select(F.struct("created_at", "id").alias("seq"), "image_id", "model_id", F.coalesce("description", F.lit(None).cast("string")).alias("description"), "created_at")
-    return commands.upsert_descriptions(said.limit(0), log).select("image_id", "model_id", "description")
+    """Descriptions of the later half come to those of the earlier."""
+    base, new = halves(t(spark, d, "ai_descriptions"), "created_at")
+    return commands.upsert_descriptions(base, new.select(F.struct("created_at", "id").alias("seq"), "image_id", "model_id", "description", "created_at"))
 
 
-@query("SELECT path, arg_min(file_size, (added_at, id)) AS file_size, regexp_replace(path, '^.*/', '') AS filename, 'present' AS status FROM images WHERE path IS NOT NULL GROUP BY path")
+@query(f"""WITH {halves_sql('images', 'added_at')}, l AS (SELECT * FROM n WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM b WHERE path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY added_at, id) = 1)
+    SELECT id, path, file_size, added_at, filename, status, raw_path FROM b UNION ALL SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY added_at, id), path, file_size, 5, regexp_replace(path, '^.*/', ''), 'present', raw_path FROM l""")
 def insert_ignore(spark, d):
-    rows = t(spark, d, "images")
-    log = rows.select(F.struct("added_at", "id").alias("seq"), "path", "hash", "file_size", "raw_path")
-    return commands.insert_images(rows.limit(0), log, 0).select("path", "file_size", "filename", "status")
+    """Images of the later half come to those of the earlier: known paths are ignored, the first of a new path wins."""
+    base, new = halves(t(spark, d, "images"), "added_at")
+    log = new.select(F.struct("added_at", "id").alias("seq"), "path", "hash", "file_size", "raw_path")
+    return commands.insert_images(base, log, 5).select("id", "path", "file_size", "added_at", "filename", "status", "raw_path")
 
 
 @query("WITH c AS (SELECT path, arg_max(CASE WHEN status = 'missing' THEN 'missing' ELSE 'present' END, (added_at, id)) AS now FROM images WHERE path IS NOT NULL GROUP BY path) SELECT i.id, coalesce(c.now, i.status) AS status FROM images i LEFT JOIN c ON c.path = i.path")
@@ -573,10 +615,12 @@ def cascade_delete(spark, d):
     return commands.delete({"collections": rows, "collection_images": t(spark, d, "collection_images")}, "collections", rows.where("color is null"))["collection_images"].select("id", "collection_id")
 
 
-@query("SELECT DISTINCT collection_id, image_id FROM collection_images WHERE collection_id IS NOT NULL AND image_id IS NOT NULL")
+@query(f"""WITH {halves_sql('collection_images', 'added_at')}, l AS (SELECT collection_id, image_id, min(id) AS seq FROM n WHERE collection_id IS NOT NULL AND image_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b WHERE b.collection_id = n.collection_id AND b.image_id = n.image_id) GROUP BY 1, 2)
+    SELECT id, collection_id, image_id, added_at FROM b UNION ALL SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY seq), collection_id, image_id, 5 FROM l""")
 def members_added(spark, d):
-    rows = t(spark, d, "collection_images")
-    return commands.add_members(rows.limit(0), rows.select(F.col("id").alias("seq"), "collection_id", "image_id"), 0).select("collection_id", "image_id")
+    """Memberships of the later half come to those of the earlier."""
+    base, new = halves(t(spark, d, "collection_images"), "added_at")
+    return commands.add_members(base, new.select(F.col("id").alias("seq"), "collection_id", "image_id"), 5)
 
 
 @query("SELECT m.id FROM collection_images m WHERE (m.collection_id, m.image_id) NOT IN (SELECT collection_id, image_id FROM collection_images GROUP BY 1, 2 HAVING count(*) > 1)")
