@@ -1,16 +1,17 @@
 """Problem 5: values typed by people, mapped to the entry of a reference list that they mean.
 
-A multi-pattern automaton holds the canonical names and their aliases as token strings; the longest
-non-overlapping mentions in a value win. What stands beside a mention decides whether the value
-names that entry or another product. Values without a mention go to token-set similarity, in which
-numbers must agree exactly and words may hold a typing error.
+A multi-pattern automaton holds the canonical names and their aliases as token strings, of makers too. The longest
+non-overlapping mentions in a value win; a mention decides if nothing stands beside it that may name another
+product: only its own maker, neutral words and remarks. Values without such a mention go to token-set similarity: an
+inverted index gives the entries with the same numbers or with letter pairs in common, whose words are matched
+with the typed ones in any order, a word holding few typing errors.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The reference list is broadcast; a longer one is refused.
-MOST_ENTRIES = 200_000
+#: The reference list is broadcast in parts of so many entries; a value's best match over all parts counts.
+PART_ENTRIES = 200_000
 #: Words that say nothing about which product is meant, by field.
 NEUTRAL = {
     "make": {"the", "company", "co", "ltd", "inc", "corp", "corporation", "ag", "gmbh", "kg", "sa", "plc", "llc", "optical", "optics", "imaging", "camera", "cameras", "digital", "industries", "group", "and"},
     "model": {"camera", "digital", "body", "the", "kit", "only"},
     "lens": {"lens", "the", "with", "objective"},
 }
+#: Words of remarks, which may stand beside any mention.
+REMARKS = {"a", "an", "my", "our", "his", "her", "old", "new", "used", "second", "hand", "bought", "borrowed", "original", "genuine", "with", "from", "by", "for", "and", "or", "of", "on", "in", "at", "is", "was", "this", "that", "very", "nice", "good", "great"}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
 
@@ -94,8 +97,18 @@ def split(field: str, value: str) -> list[str]:
 
 def distance(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance (adjacent letters may be swapped), or most + 1 when beyond."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    if most < 1 or abs(len(a) - len(b)) > most:
         return most + 1
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < min(end_a, end_b) and a[start] == b[start]:
+        start += 1
+    while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         two, before, row = before, row, [i]
@@ -106,7 +119,7 @@ def distance(a: str, b: str, most: int) -> int:
             row.append(d)
         if min(row) > most:
             return most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def allowed(word: str) -> int:
@@ -123,50 +136,131 @@ def short_form(code: str, name: str) -> bool:
     return len(code) == 3 and words and code[0] == words[0][0] and all(c in rest for c in code)
 
 
+def letter_pairs(word: str) -> set[str]:
+    padded = f"\x01{word}\x02"
+    return {padded[i : i + 2] for i in range(len(padded) - 1)}
+
+
+def set_distance(typed: list[str], words: list[str], most: int) -> int:
+    """Edits between two sets of words in any order: equal words go together, then those with the fewest edits; most + 1 when beyond or words are left over."""
+    if len(typed) != len(words):
+        return most + 1
+    mine, theirs = list(typed), list(words)
+    for w in typed:
+        if w in theirs:
+            theirs.remove(w)
+            mine.remove(w)
+    total = 0
+    for w in mine:
+        d, best = min((distance(w, x, min(most, allowed(x))), x) for x in theirs)
+        total += d
+        if d > allowed(best) or total > most:
+            return most + 1
+        theirs.remove(best)
+    return total
+
+
+class PairIndex:
+    """Inverted index from letter pairs to words. An edit spoils at most three pairs, so a word within its allowed errors shares some."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list] = defaultdict(list)
+
+    def add(self, word: str, item) -> None:
+        for pair in letter_pairs(word):
+            self.rows[pair].append((word, item))
+
+    def near(self, word: str) -> list[tuple[int, object]]:
+        """(edits, item) of the words within their allowed errors."""
+        shared = Counter(x for pair in letter_pairs(word) for x in self.rows.get(pair, ()))
+        out = []
+        for (other, item), n in shared.items():
+            most = allowed(other)
+            if abs(len(other) - len(word)) <= most and n >= len(letter_pairs(other)) - 3 * most:
+                d = distance(word, other, most)
+                if d <= most:
+                    out.append((d, item))
+        return out
+
+
+class Mentions:
+    """Automaton over token strings; forms are lists of tokens."""
+
+    def __init__(self, forms: dict[tuple[str, ...], list]):
+        self.forms = {" ".join(f): items for f, items in forms.items() if f}
+        self.automaton = ahocorasick.Automaton()
+        for form in self.forms:
+            self.automaton.add_word(f" {form} ", form)
+        if self.forms:
+            self.automaton.make_automaton()
+
+    def find(self, words: list[str]) -> list[tuple[int, int, str]]:
+        """Longest non-overlapping mentions: (first word, word behind the last, form)."""
+        if not self.forms or not words:
+            return []
+        text = f" {' '.join(words)} "
+        hits = [(end - len(form) - 1, end, form) for end, form in self.automaton.iter(text)]
+        out: list[tuple[int, int, str]] = []
+        for start, end, form in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+            if all(end <= a or start >= b for a, b, _ in out):
+                out.append((start, end, form))
+        return [(text[: start + 1].count(" ") - 1, text[:end].count(" "), form) for start, end, form in out]
+
+
+def remarks_off(field: str, text: str) -> str:
+    """A cleaned value without remarks behind a comma, semicolon or bracket; what holds a number or a mark of a generation is no remark."""
+    head, *rest = re.split(r"[;(\[|]|,(?!\s*\d)", text)
+    return head if head.strip() and not any(re.search(r"\d|\b(?:mark|mk)\b", x) for x in rest) else text
+
+
 class Matcher:
     """Maps values of the fields of a reference list of (ref_id, kind, make, name)."""
 
-    def __init__(self, entries: list[tuple[int, str, str, str]]):
+    def __init__(self, entries: list[tuple[int, str, str, str]], mentions: bool = True):
         self.exact: dict[str, set[str]] = defaultdict(set)
         self.names: dict[str, dict[int, tuple[str, ...]]] = defaultdict(dict)
         self.make_of: dict[int, str] = {}
         self.makes: dict[str, tuple[str, ...]] = {}
+        #: Of each lens the words before its numbers, without the maker, and the words behind them.
+        self.lens_words: dict[int, tuple[list[str], list[str]]] = {}
+        forms: dict[str, dict[tuple[str, ...], list]] = {k: defaultdict(list) for k in ("make", "model", "lens", "maker")}
+        self.by_numbers: dict[tuple, list[int]] = defaultdict(list)
+        self.make_index, self.maker_index = PairIndex(), PairIndex()
         for ref, kind, make, name in entries:
             if ref is None or not kind or not name:
                 continue
             self.exact[kind].add(name)
-            words = split(kind, name)
+            words = tuple(split(kind, name))
             self.make_of[ref] = clean(make or "")
-            for m in {make} - {None, ""}:
-                self.makes.setdefault(clean(m), tuple(tokens(clean(m))))
-            own = self.makes.get(clean(make or ""), ())
-            self.names[kind][ref] = tuple(words[len(own) :]) if kind == "lens" and tuple(words[: len(own)]) == own else tuple(words)
-        self._automata: dict[str, ahocorasick.Automaton] = {}
-        self._ids: dict[str, dict[str, list[int]]] = {}
-        for kind, names in self.names.items():
-            found: dict[str, list[int]] = defaultdict(list)
-            for ref, words in names.items():
-                for form in self._forms(kind, words):
-                    found["".join(form) if kind == "model" else " ".join(form)].append(ref)
-            self._ids[kind] = found
-            automaton = ahocorasick.Automaton()
-            for form in found:
-                automaton.add_word(f" {form} " if kind != "model" else form, form)
-            if found:
-                automaton.make_automaton()
-            self._automata[kind] = automaton
-        #: Of each lens the words before its numbers, without the maker, and the words behind them.
-        self.lens_words: dict[int, tuple[str, str]] = {}
-        for ref, kind, make, name in entries:
-            if kind == "lens" and ref in self.names["lens"]:
+            if make and clean(make) not in self.makes:
+                own = self.makes[clean(make)] = tuple(tokens(clean(make)))
+                for form in self._forms(own):
+                    forms["maker"][form].append(clean(make))
+                    self.maker_index.add("".join(form), clean(make))
+            own = self.makes.get(self.make_of[ref], ())
+            if kind == "lens":
                 head = tokens(re.split(r"\d", clean(name))[0])
-                own = list(self.makes.get(clean(make or ""), ()))
-                series = head[len(own) :] if head[: len(own)] == own else head
-                letters = [w for w in self.names["lens"][ref] if not re.search(r"\d", w)]
-                self.lens_words[ref] = ("".join(series), "".join(letters[len(series) :]))
+                series = head[len(own) :] if tuple(head[: len(own)]) == own else head
+                words = words[len(own) :] if words[: len(own)] == own else words
+                letters = [w for w in words if not re.search(r"\d", w)]
+                self.lens_words[ref] = (series, letters[len(series) :])
+                self.by_numbers["lens", tuple(sorted(w for w in words if re.search(r"\d", w)))].append(ref)
+            elif kind == "model":
+                self.by_numbers["model", tuple(sorted(w for w in words if w.isdigit()))].append(ref)
+            elif kind == "make":
+                self.make_index.add("".join(p for p in words if p not in NEUTRAL["make"]), ref)
+            self.names[kind][ref] = words
+            if kind in forms:
+                for form in self._forms(words):
+                    forms[kind][form].append(ref)
+        self.mentions = {k: Mentions(f if mentions else {}) for k, f in forms.items()}
+        self.first_letter: dict[str, list[str]] = defaultdict(list)
+        for m, parts in self.makes.items():
+            if parts:
+                self.first_letter[parts[0][0]].append(m)
 
     @staticmethod
-    def _forms(kind: str, words: tuple[str, ...]) -> list[tuple[str, ...]]:
+    def _forms(words: tuple[str, ...]) -> list[tuple[str, ...]]:
         """The token forms of a name: as it is and, where it joins words by 'and', without that."""
         short = tuple(w for w in words if w != "and")
         return [words] if short == words or not short else [words, short]
@@ -174,139 +268,136 @@ class Matcher:
     @lru_cache(maxsize=200_000)
     def find(self, field: str, value: str) -> int:
         """ref_id of the entry that ``value`` means, or 0."""
-        words = split(field, value)
-        if not words:
-            return 0
-        if field == "make":
-            return self._make(words)
-        return self._lens(words) if field == "lens" else self._model(words)
-
-    def _mentions(self, field: str, text: str) -> list[tuple[int, int, str]]:
-        """Longest non-overlapping mentions in a token string: (start, end, form)."""
-        automaton = self._automata.get(field)
-        if not automaton or not len(automaton):
+        _, refs = self.ranked(field, value)
+        return refs[0] if len(refs) == 1 else 0
+
+    def ranked(self, field: str, value: str) -> tuple[int, list[int]]:
+        """(rank, entries): the entries that fit the value best, and how well; the less, the better."""
+        text = remarks_off(field, clean(value))
+        words = lens_tokens(text) if field == "lens" else tokens(text)
+        for rank, refs in {"make": self._make, "model": self._model, "lens": self._lens}[field](words) if words else ():
+            if refs:
+                return rank, sorted(set(refs))
+        return 1000, []
+
+    def _mentioned(self, field: str, words: list[str], make: str | None = None) -> list[int]:
+        """Entries of the mention that decides, if one does: the only one, with nothing beside it that could name another product."""
+        found = self.mentions[field].find(words)
+        if len(found) != 1:
             return []
-        hits = sorted(((end + 1 - len(form) - (0 if field == "model" else 2), end + 1, form) for end, form in automaton.iter(text)), key=lambda h: (h[0] - h[1], h[0]))
-        taken: list[tuple[int, int, str]] = []
-        for h in hits:
-            if all(h[1] <= t[0] + 1 or h[0] >= t[1] - 1 for t in taken):
-                taken.append(h)
-        return taken
-
-    def _maker(self, words: list[str]) -> tuple[str | None, list[str]]:
-        """The maker named by the first words (spelled right, mistyped, run together or as a short form), and the other words."""
+        start, end, form = found[0]
+        refs = self.mentions[field].forms[form]
+        if field != "make":
+            refs = [r for r in refs if make is None or self.make_of[r] == make]
+        beside = words[:start] + words[end:]
+        return refs if all(w in NEUTRAL[field] or w in REMARKS for w in beside) else []
+
+    def _makers(self, words: list[str]) -> list[tuple[str | None, list[str]]]:
+        """Makers that a value may name, each with the other words: mentioned anywhere, or by its first words mistyped, run together or in a short form; and no maker."""
+        out: list[tuple[str | None, list[str]]] = []
         best: tuple[int, int, str] | None = None
-        for make, parts in self.makes.items():
-            whole = "".join(parts)
-            for n in range(1, min(len(words), len(parts) + 2) + 1):
-                head = "".join(words[:n])
-                if any(w.isdigit() for w in words[:n]):
-                    break
-                d = min(distance(head, w, allowed(whole)) for w in {whole, "".join(p for p in parts if p != "and")})
-                if d <= allowed(whole) and (best is None or (d, -n) < (best[0], best[1])):
+        for n in range(1, min(len(words), max(map(len, self.makes.values()), default=0) + 2) + 1):
+            if words[n - 1].isdigit():
+                break
+            for d, make in self.maker_index.near("".join(words[:n])):
+                if n <= len(self.makes[make]) + 2 and (best is None or (d, -n) < best[:2]):
                     best = (d, -n, make)
-            if (best is None or best[0] > 0) and words:
-                for n in (1, 3):
-                    if short_form("".join(words[:n]).replace("and", "") if n == 3 else words[0], " ".join(parts)) and len(words) >= n:
-                        if sum(short_form("".join(words[:n]).replace("and", "") if n == 3 else words[0], " ".join(p)) for p in self.makes.values()) == 1 and (best is None or best[0] > 1):
-                            best = (1, -n, make)
-        return (None, words) if best is None else (best[2], words[-best[1] :])
-
-    def _make(self, words: list[str]) -> int:
+        if best is None or best[0] > 1:
+            for n in (1, 3):
+                codes = self._coded("".join(words[:n]).replace("and", "") if n > 1 else words[0]) if len(words) >= n else ()
+                if len(codes) == 1 and (best is None or best[0] > 1):
+                    best = (1, -n, codes[0])
+        if best is not None:
+            out.append((best[2], words[-best[1] :]))
+        found = self.mentions["maker"].find(words)
+        if len(found) == 1 and len(set(self.mentions["maker"].forms[found[0][2]])) == 1 and (best is None or best[0] > 0):
+            start, end, form = found[0]
+            out.insert(0, (self.mentions["maker"].forms[form][0], words[:start] + words[end:]))
+        return [*out, (None, words)]
+
+    @lru_cache(maxsize=100_000)
+    def _coded(self, code: str) -> tuple[str, ...]:
+        """Makers of which ``code`` is a short form; a form begins with its maker's first letter."""
+        return tuple(m for m in self.first_letter.get(code[:1], ()) if short_form(code, " ".join(self.makes[m])))
+
+    def _make(self, words: list[str]) -> Iterator[tuple[int, list[int]]]:
+        yield 0, self._mentioned("make", words)
         rest = [w for w in words if w not in NEUTRAL["make"]]
-        named = " " + " ".join(words) + " "
-        for start, end, form in self._mentions("make", named):
-            beside = (named[:start] + " " + named[end:]).split()
-            if all(w in NEUTRAL["make"] for w in beside):
-                return self._one(self._ids["make"][form])
         if not rest:
-            return 0
-        best: list[tuple[int, int]] = []
-        typed = "".join(rest)
-        for ref, parts in self.names["make"].items():
-            whole = "".join(p for p in parts if p not in NEUTRAL["make"])
-            d = distance(typed, whole, allowed(whole))
-            if d <= allowed(whole):
-                best.append((d, ref))
-        if best:
-            least = min(best)[0]
-            return self._one([r for d, r in best if d == least])
-        codes = {"".join(rest), "".join(words)}
-        return self._one([ref for ref, parts in self.names["make"].items() if any(short_form(c, " ".join(parts)) for c in codes)])
-
-    @staticmethod
-    def _one(refs: list[int]) -> int:
-        return refs[0] if len(set(refs)) == 1 else 0
-
-    def _model(self, words: list[str]) -> int:
-        """A mention counts if only its own maker and neutral words stand beside it; else numbers must agree and one word may be mistyped."""
-        options = [(None, words)]
-        make, rest = self._maker(words)
-        if make is not None and rest:
-            options.insert(0, (make, rest))
-        for make, rest in options:
+            return
+        near = self.make_index.near("".join(rest))
+        least = min((d for d, _ in near), default=0)
+        yield 1 + least, [r for d, r in near if d == least]
+        coded = {m for c in {"".join(rest), "".join(words)} for m in self._coded(c)}
+        yield 10, [r for r, parts in self.names["make"].items() if coded and self.make_of[r] in coded] if coded else []
+
+    def _model(self, words: list[str]) -> Iterator[tuple[int, list[int]]]:
+        options = [(make, rest) for make, rest in self._makers(words) if rest]
+        for k, (make, rest) in enumerate(options):
+            yield k, self._mentioned("model", rest, make)
+        for k, (make, rest) in enumerate(options):
             rest = [w for w in rest if w not in NEUTRAL["model"]]
-            if not rest:
-                continue
-            text = "".join(rest)
-            for start, end, form in self._mentions("model", text):
-                if start == 0 and end == len(text) and [w for w in rest if w.isdigit()] == [w for w in self._words(form) if w.isdigit()]:
-                    refs = [r for r in self._ids["model"][form] if make is None or self.make_of[r] == make]
-                    if refs:
-                        return self._one(refs)
-        for make, rest in options:
-            rest = [w for w in rest if w not in NEUTRAL["model"]]
-            digits, letters = [w for w in rest if w.isdigit()], "".join(w for w in rest if not w.isdigit())
+            typed = [w for w in rest if not w.isdigit()]
+            digits = [w for w in rest if w.isdigit()]
             best = []
-            for ref, parts in self.names["model"].items():
-                if (make is None or self.make_of[ref] == make) and [w for w in parts if w.isdigit()] == digits:
-                    own = "".join(w for w in parts if not w.isdigit())
-                    stem = own.replace("mark", "", 1) if len(digits) > 1 else own
-                    most = 1 if len(stem) >= 2 else 0
-                    d = distance(letters, own, most)
+            for ref in self.by_numbers.get(("model", tuple(sorted(digits))), ()):
+                if make is None or self.make_of[ref] == make:
+                    parts = self.names["model"][ref]
+                    own = [w for w in parts if not w.isdigit()]
+                    whole = "".join(own)
+                    most = 1 if len(whole.replace("mark", "", 1) if len(digits) > 1 else whole) >= 2 else 0
+                    straight = [w for w in parts if w.isdigit()] == digits  # run together or cut apart, words must stand in order
+                    d = min(distance("".join(typed), whole, most) if straight else most + 1, set_distance(typed, own, most))
                     if d <= most:
                         best.append((d, ref))
             if best:
                 least = min(best)[0]
-                return self._one([r for d, r in best if d == least])
-        return 0
+                yield 10 * (k + 1) + least, [r for d, r in best if d == least]
 
-    def _words(self, form: str) -> tuple[str, ...]:
-        return self.names["model"][self._ids["model"][form][0]]
-
-    def _lens(self, words: list[str]) -> int:
+    def _lens(self, words: list[str]) -> Iterator[tuple[int, list[int]]]:
         numbers = [w for w in words if re.match(r"f?\d[\d.-]*(mm)?$", w)]
         letters = [w for w in words if w not in numbers and w not in NEUTRAL["lens"]]
         if len(numbers) != 2:
-            return 0
-        for start, end, form in self._mentions("lens", " " + " ".join(letters + numbers) + " "):
-            if start == 0 and end == len(" ".join(letters + numbers)) + 2:
-                return self._one(self._ids["lens"][form])
-        by = [r for r, parts in self.names["lens"].items() if {w for w in parts if re.search(r"\d", w)} == set(numbers)]
+            return
+        for make, rest in self._makers(letters):
+            yield 0, self._mentioned("lens", rest + numbers, make)
         best = []
-        for ref in by:
-            score = self._lens_words(letters, self.make_of[ref], *self.lens_words[ref])
+        for ref in self.by_numbers.get(("lens", tuple(sorted(numbers))), ()):
+            score = self._lens_words(letters, ref)
             if score is not None:
                 best.append((score, ref))
-        if not best:
-            return 0
-        least = min(best)[0]
-        return self._one([r for s, r in best if s == least])
-
-    def _lens_words(self, letters: list[str], make: str, series: str, kinds: str) -> int | None:
+        if best:
+            least = min(best)[0]
+            yield 10 + least, [r for s, r in best if s == least]
+
+    @lru_cache(maxsize=50_000)
+    def _lens_forms(self, ref: int) -> tuple[dict[str, int], list[tuple[list[str], list[str], int]]]:
+        """Ways to write a lens without its numbers: run together with what each lacks, and as words before and behind."""
+        series, kinds = self.lens_words[ref]
+        own = list(self.makes.get(self.make_of[ref], ()))
+        makers = [(own, 0), ([w for w in own if w != "and"], 0), ([], 2), *(([c], 1) for c in self._codes(self.make_of[ref]))]
+        forms = [([*m, *s], tail, cost + c2 + c3) for m, cost in makers for s, c2 in ((series, 0), ([], 2)) if m or s for tail, c3 in (((kinds, 0), ([], 3)) if kinds else (([], 0),))]
+        whole: dict[str, int] = {}
+        for head, tail, cost in forms:
+            text = "".join(head) + "".join(tail)
+            whole[text] = min(cost, whole.get(text, cost))
+        return whole, forms
+
+    def _lens_words(self, letters: list[str], ref: int) -> int | None:
         """None if the words name another lens; else how far they are from the entry's (a missing word counts little)."""
+        whole, forms = self._lens_forms(ref)
         typed = "".join(letters)
-        makers = [("".join(self.makes.get(make, ())), 0), ("".join(w for w in self.makes.get(make, ()) if w != "and"), 0), ("", 2)]
+        if typed in whole:
+            return whole[typed]
         best = None
-        heads = [("".join(h for h in (m, s) if h), cost + c2) for m, cost in [*makers, *((c, 1) for c in self._codes(make))] for s, c2 in [(series, 0), ("", 2)] if m or s]
-        for head, cost in heads:
-            for tail, c3 in [(kinds, 0), ("", 3)] if kinds else [("", 0)]:
-                whole = head + tail
-                most = allowed(head)
-                d = distance(typed, whole, most)
-                if d <= most and typed.endswith(tail[-1:]):
-                    total = cost + c3 + 10 * d
-                    best = total if best is None else min(best, total)
+        for head, tail, cost in forms:
+            most = allowed("".join(head))
+            last = "".join(tail)
+            d = distance(typed, "".join(head) + last, most)
+            if d > most or not typed.endswith(last[-1:]):
+                d = set_distance(letters, [*head, *tail], most)
+            if d <= most:
+                best = cost + 10 * d if best is None else min(best, cost + 10 * d)
         return best
 
     @lru_cache(maxsize=10_000)
@@ -318,7 +409,7 @@ class Matcher:
         out = {whole[0] + a + b for a, b in combinations(whole[1:], 2)}
         initials = "".join(w[0] for w in self.makes[make])
         out |= {initials} if len(initials) > 1 else set()
-        return tuple(c for c in sorted(out) if sum(short_form(c, " ".join(p)) for p in self.makes.values()) == 1 or c == initials)
+        return tuple(c for c in sorted(out) if c == initials or len(self._coded(c)) == 1)
 
 
 def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...] = ("make", "model", "lens"), values: bool = False) -> DataFrame:
@@ -326,12 +417,14 @@ def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...]
 
     ``images`` has id and the fields, other columns are ignored; ``reference`` has ref_id, kind, make and name.
     Every value is mapped where it is read, so nothing is shuffled; a worker maps a repeated value once. Ties
-    between entries, and an empty reference list, give 0.
+    between entries, and an empty reference list, give 0. A list of more than PART_ENTRIES entries is taken part by part,
+    and of the parts' best matches for a value the best one counts.
     """
-    entries = [tuple(r) for r in reference.select("ref_id", "kind", "make", "name").orderBy("ref_id").limit(MOST_ENTRIES + 1).collect()]
-    if len(entries) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    shared = images.sparkSession.sparkContext.broadcast(entries)
+    wanted = reference.select("ref_id", "kind", "make", "name")
+    size = wanted.count()
+    if size > PART_ENTRIES:
+        return _by_parts(images, wanted, size, fields, values)
+    shared = images.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in wanted.collect()), key=str))  # at most PART_ENTRIES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
@@ -339,10 +432,7 @@ def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...]
             for k, field in enumerate(fields, 1):
                 known = matcher.exact[field]
                 coded = b.column(k).dictionary_encode()
-                to = []
-                for v in coded.dictionary.to_pylist():
-                    to.append(None if not v.strip() or v in known else matcher.find(field, v))
-                refs = pa.array(to, pa.int64()).take(coded.indices)
+                refs = pa.array([None if not v.strip() or v in known else matcher.find(field, v) for v in coded.dictionary.to_pylist()], pa.int64()).take(coded.indices)
                 keep = refs.is_valid()
                 ids = b.column(0).filter(keep)
                 typed = [b.column(k).filter(keep)] if values else []
@@ -351,6 +441,30 @@ def map_values(images: DataFrame, reference: DataFrame, fields: tuple[str, ...]
     return images.select("id", *fields).mapInArrow(run, "image_id long, field string, ref_id long" + ", value string" * values)
 
 
+def _by_parts(images: DataFrame, reference: DataFrame, size: int, fields: tuple[str, ...], values: bool) -> DataFrame:
+    """As `map_values`: distinct values meet the list in parts; makers are kept together, and every part knows all makers of its own entries."""
+    parts = -(-size // PART_ENTRIES) * 2
+    typed = images.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("x.*").where("value is not null").distinct()
+    sent = typed.select("field", "value", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    lists = reference.withColumn("part", F.pmod(F.xxhash64("make"), F.lit(parts)).cast("int"))
+
+    def match(left, right):
+        matcher = Matcher([tuple(r.values()) for r in right.select(["ref_id", "kind", "make", "name"]).to_pylist()])
+        rows = []
+        for field, value in zip(left["field"].to_pylist(), left["value"].to_pylist()):
+            if value.strip():
+                rank, refs = (-1, []) if value in matcher.exact[field] else matcher.ranked(field, value)
+                rows.append((field, value, rank, refs))
+        kinds = (("field", pa.string()), ("value", pa.string()), ("rank", pa.int64()), ("refs", pa.list_(pa.int64())))
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(kinds)})
+
+    ranked = sent.groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(match, "field string, value string, rank long, refs array<long>")
+    best = ranked.groupBy("field", "value").agg(F.min(F.col("rank")).alias("rank")).join(ranked, ["field", "value", "rank"]).groupBy("field", "value", "rank").agg(F.array_distinct(F.flatten(F.collect_list("refs"))).alias("refs")).where("rank >= 0")
+    found = best.select("field", "value", F.when(F.size("refs") == 1, F.col("refs")[0]).otherwise(F.lit(0)).cast("long").alias("ref_id"))
+    rows = images.select(F.col("id").alias("image_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("image_id", "x.*")
+    return rows.join(found, ["field", "value"]).select("image_id", "field", "ref_id", *["value"] * values)
+
+
 def unmatched(images: DataFrame, reference: DataFrame) -> DataFrame:
     """(field, value, images): typed values without an entry in the list, and how many rows have them."""
     return map_values(images, reference, values=True).where("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("images"))
