@@ -1,23 +1,28 @@
 """Problem 2: rows of new batches that repeat something already accepted.
 
-Rows show the same photo if they have the same valid hash, or the same taken_at and paths that name the same
-file. Paths are brought to one spelling first; what spellings remain are found by a segment index
-for edit distance: every canonical path is cut into a fixed number of segments, kept by length
-and position; a path within EDITS edits of an indexed one shares a segment with it near the same place
-(pigeonhole), so probing the selected substrings of a new path finds all candidates, whose distance
-is then verified. New paths append their segments.
+Rows show the same photo if they have the same valid hash, or the same taken_at and paths that name the same file.
+Case, slashes, dots and codes of letters are settled where a path is read (`light_path`). How people and programs name a copy
+is left to a segment index for edit distance over the words and numbers of paths: every indexed path is cut into a fixed
+number of segments, kept by length and position; a path within EDITS edits (words) of an indexed one shares a segment
+with it near the same place (pigeonhole), so probing the selected substrings of a new path finds all candidates.
+Their edit distance is verified, and then that what differs is a copy's mark or a letter or two.
+
+`History` keeps the index in a folder. A batch probes it, and appends its own keys and segments.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +31,12 @@ from prismarium.operators.components import connected_components, union_labels
 from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
-#: Edits between canonical spellings of one path, and the segments that a path is cut into.
-EDITS = 2
+#: Edits between the words of two paths, and the segments that a path is cut into; edits between the letters of two canonical paths.
+EDITS = 4
 SEGMENTS = EDITS + 1
+LETTER_EDITS = 2
+#: The index is kept in so many buckets by the month a photo was taken, so that a batch reads those of its own months.
+BUCKETS, MONTH = 32, 31 * 86_400
 #: How systems, sync tools and file managers name a copy, before and behind the stem.
 COPY_BEFORE = r"(?:copy|kopie|copie|copia|cópia|kopia|copy \(\d+\)) (?:of|von|de|di|från) "
 COPY_BEHIND = r"(?:[ _-]+(?:copy|kopie|copie|copia|cópia|kopia)(?:[ _-]*\d{1,2})?| ?\(\d{1,3}\)|~\d{1,2}| - \d{1,2}|(?<=\d{3})_\d)"
@@ -47,28 +55,53 @@ def folder_spelling(folder: str) -> str:
     return "/".join(parts)
 
 
-def canonical_path(path: str) -> str:
-    """One spelling of a path: case, slashes, dots, percent signs, composition, blanks, copy marks and extension."""
+def light_path(path: str) -> str:
+    """A path without what systems spell differently: case, slashes, dots, percent signs, composition of letters, blanks, and names of one extension."""
     text = unquote(path, errors="replace") if "%" in path else path
-    text = unicodedata.normalize("NFC", text.replace("\\", "/"))
-    text = "".join(" " if c.isspace() else c for c in text if c.isspace() or unicodedata.category(c)[0] != "C").casefold().strip()
-    text = re.sub(r"^(?:file:/+|[a-z]:/)", "/", text)
+    if "\\" in text:
+        text = text.replace("\\", "/")
+    if not text.isascii() or not text.isprintable():
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(" " if c.isspace() else c for c in text if c.isspace() or unicodedata.category(c)[0] != "C")
+    text = re.sub(r"^(?:file:/+|[a-z]:/)", "/", text.casefold().strip())
     folder, _, name = text.rpartition("/")
     stem, dot, extension = name.rpartition(".")
     if not dot:
         stem, extension = name, ""
-    stem, extension = stem.strip(), extension.strip()
+    extension = extension.strip()
+    return f"{folder_spelling(folder)}/{stem.strip()}.{SAME_EXTENSION.get(extension, extension)}"
+
+
+@lru_cache(maxsize=100_000)
+def unmarked(light: str) -> str:
+    """A light path without the marks of a copy."""
+    folder, _, name = light.rpartition("/")
+    stem, _, extension = name.rpartition(".")
     while True:
         shorter = re.sub(rf"^{COPY_BEFORE}", "", re.sub(rf"{COPY_BEHIND}$", "", stem)).strip()
         if shorter == stem or not shorter:
             break
         stem = shorter
-    return f"{folder_spelling(folder)}/{stem}.{SAME_EXTENSION.get(extension, extension)}"
+    return f"{folder}/{stem}.{extension}"
+
+
+def canonical_path(path: str) -> str:
+    """One spelling of a path, however a system writes it and names a copy."""
+    return unmarked(light_path(path))
+
+
+def numbers(text: str) -> list[str]:
+    return re.findall(r"\d+", text)
 
 
 def same_file(a: str, b: str) -> bool:
-    """Whether two canonical paths are within EDITS edits and hold the same numbers and extension."""
-    return re.findall(r"\d+", a) == re.findall(r"\d+", b) and a.rpartition(".")[2] == b.rpartition(".")[2] and distance(a, b, EDITS) <= EDITS
+    """Whether two canonical paths are within LETTER_EDITS edits and hold the same numbers and extension."""
+    return numbers(a) == numbers(b) and a.rpartition(".")[2] == b.rpartition(".")[2] and distance(a, b, LETTER_EDITS) <= LETTER_EDITS
+
+
+def words_of(light: str) -> str:
+    """The words and numbers of a light path, a character for each, so that a string's edits are edits of words."""
+    return "".join(chr(0xE000 + xxhash.xxh32_intdigest(w) % 0x100000) for w in re.findall(r"[^\W\d_]+|\d+", light))
 
 
 def cuts(length: int) -> list[tuple[int, int]]:
@@ -102,70 +135,83 @@ def probe_keys(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled(images: DataFrame) -> DataFrame:
-    """(id, added_at, hash_key, taken_at, path_key, canon): path_key stands for taken_at and canonical path; both keys are null where they don't count.
+    """(id, added_at, hash_key, taken_at, path_key, light): path_key stands for taken_at and light path; both keys are null where they don't count.
 
     A null added_at counts as the earliest time; a null path never matches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            coded = [None if p is None or t is None else canonical_path(p) for p, t in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(coded, pa.string())], ["id", "added_at", "hash_key", "taken_at", "canon"])
+            light = [None if p is None or t is None else light_path(p) for p, t in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(light, pa.string())], ["id", "added_at", "hash_key", "taken_at", "light"])
 
     counts = (F.length("hash") == 32) & (F.col("hash") != F.lit(bytes(32))) & (F.col("file_size") > 0)
     rows = images.where("id is not null").select("id", F.coalesce("added_at", F.lit(-(1 << 62))).alias("added_at"), F.when(counts, F.col("hash")).alias("hash_key"), "taken_at", "path")
-    return rows.mapInArrow(run, "id long, added_at long, hash_key binary, taken_at long, canon string").withColumn("path_key", F.when(F.col("canon").isNotNull(), F.sha2(F.concat_ws("|", F.col("taken_at").cast("string"), "canon"), 256)))
+    read = rows.mapInArrow(run, "id long, added_at long, hash_key binary, taken_at long, light string")
+    return read.withColumn("path_key", F.when(F.col("light").isNotNull(), _digest(F.concat_ws("|", F.col("taken_at").cast("string"), "light"))))
 
 
-def _segment_key(numbers: str) -> Column:
-    return F.xxhash64("taken_at", numbers, "length", "place", "segment")
+def _digest(c: Column) -> Column:
+    return F.unhex(F.md5(c))
 
 
-def segments(paths: DataFrame, probes: bool) -> DataFrame:
-    """(key, node, taken_at, canon) per indexed segment or probed substring of ``paths`` (node, taken_at, canon).
+def _bucket(taken_at: str) -> Column:
+    return F.pmod(F.floor(F.col(taken_at) / MONTH), F.lit(BUCKETS)).cast("int")
 
-    Numbers must agree in same files, so they are part of the key; this keeps the lists short where a camera
-    clock stood still for a third of all photos.
-    """
+
+def near_key() -> Column:
+    """What two spellings of one path must share: taken_at, and the numbers of four and more digits, as a copy's mark is no such number."""
+    return F.xxhash64("taken_at", F.array_join(F.regexp_extract_all("light", F.lit(r"(\d{4,})")), ","))
+
+
+def segments(paths: DataFrame, probes: bool) -> DataFrame:
+    """(key, node) per indexed segment or probed substring of ``paths`` (node, near, light)."""
     keys = probe_keys if probes else index_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, numbers, length, place, segment = [], [], [], [], []
-            for k, canon in enumerate(b.column(2).to_pylist()):
-                digits = ",".join(re.findall(r"\d+", canon))
-                for n, p, s in keys(canon):
-                    at.append(k)
-                    numbers.append(digits)
-                    length.append(n)
-                    place.append(p)
-                    segment.append(s)
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(numbers, pa.string()), pa.array(length, pa.int32()), pa.array(place, pa.int32()), pa.array(segment, pa.string())], ["node", "taken_at", "canon", "numbers", "length", "place", "segment"])
-
-    wide = paths.select("node", "taken_at", "canon").mapInArrow(run, "node long, taken_at long, canon string, numbers string, length int, place int, segment string")
-    return wide.select(_segment_key("numbers").alias("key"), "node", "taken_at", "canon")
+            at, found = [], []
+            for k, (near, light) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                own = {xxhash.xxh64_intdigest(f"{near}|{n}|{place}|{s}") - (1 << 63) for n, place, s in keys(words_of(light))}
+                at += [k] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), b.column(0).take(pa.array(at, pa.int32()))], ["key", "node"])
+
+    return paths.select("node", "near", "light").mapInArrow(run, "key long, node long")
 
 
 def _verified(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Links among the distinct canonical paths of each bucket: every probe against the bucket's indexed paths, one link per row at most."""
-    node, taken, canon, probe = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False)
+    """Links of each bucket (key, node, light, probe), one per row at most: paths that are one without marks, or but for a letter or two.
+
+    Paths that may be one have the same numbers and extension without marks, so only such are compared.
+    """
+    node, light, probe = b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy(zero_copy_only=False)
     left, right = [], []
     for start, end in zip(bounds, bounds[1:]):
-        if end - start < 2:
-            continue
-        rows = np.arange(start, end)
-        kept, new = rows[~probe[start:end]], rows[probe[start:end]]
-        if not len(kept):
+        if end - start < 2 or probe[start:end].all():
             continue
+        alike: dict[tuple, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i in range(start, end):
+            plain = unmarked(light[i])
+            alike[plain.rpartition(".")[2], *numbers(plain)][plain].append(i)
         at = {int(n): i for i, n in enumerate(np.unique(node[start:end]))}
         ids = np.array(list(at))
         a, c = [], []
-        for i in new:
-            for j in kept:
-                if node[i] != node[j] and taken[i] == taken[j] and canon[i] != canon[j] and same_file(canon[i], canon[j]):
-                    a.append(at[int(node[i])])
-                    c.append(at[int(node[j])])
+        for spellings in alike.values():
+            plains = list(spellings)
+            for x, plain in enumerate(plains):
+                rows = list(spellings[plain])
+                for other in plains[:x]:
+                    if distance(plain, other, LETTER_EDITS) <= LETTER_EDITS:
+                        rows += spellings[other]
+                kept = [j for j in rows if not probe[j]]
+                for i in rows:
+                    if probe[i]:
+                        own = words_of(light[i])
+                        for j in kept:
+                            if node[i] != node[j] and distance(own, words_of(light[j]), EDITS) <= EDITS:
+                                a.append(at[int(node[i])])
+                                c.append(at[int(node[j])])
         if a:
             label = union_labels(len(ids), np.array(a), np.array(c))
             moved = np.flatnonzero(label != np.arange(len(ids)))
@@ -175,85 +221,131 @@ def _verified(bounds: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
 
-def spelling_links(indexed: DataFrame, probing: DataFrame) -> DataFrame:
-    """(a, b): nodes of ``probing`` whose paths are verified to be spellings of paths in ``indexed``."""
-    both = segments(indexed, False).withColumn("probe", F.lit(False)).union(segments(probing, True).withColumn("probe", F.lit(True)))
-    return both.repartition("key").sortWithinPartitions("key").mapInArrow(by_group(0, _verified), "a long, b long").distinct()
-
-
-def photo_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, added_at, photo): rows of `spelled` that share their photo with another; photo is any one id of the group."""
-    first = lambda key: rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(f"{key}_node"), F.count("*").alias("n"))
-    hashes = first("hash_key").where("n > 1").drop("n")
-    paths = first("path_key").where("n > 1").drop("n")
-    # One node per distinct canonical path with a taken_at that others share; only these can have another spelling.
-    shared = rows.where(F.col("canon").isNotNull()).groupBy("taken_at").agg(F.min("path_key").alias("_low"), F.max("path_key").alias("_high")).where("_low != _high").select("taken_at")
-    nodes = scratch.save(rows.where(F.col("canon").isNotNull()).join(shared, "taken_at", "left_semi").groupBy("path_key").agg(F.min("id").alias("node"), F.first("taken_at").alias("taken_at"), F.first("canon").alias("canon")))
-    near = spelling_links(nodes, nodes)
-    named = scratch.save(
-        rows.join(hashes, "hash_key", "left").join(paths, "path_key", "left")
-        .select("id", "added_at", F.coalesce("hash_key_node", "id").alias("h"), F.coalesce("path_key_node", "id").alias("p"))
-    )
-    edges = named.where("h != p").select(F.col("h").alias("a"), F.col("p").alias("b")).distinct().union(near)
-    roots = connected_components(edges, "a", "b", scratch)
-    return named.join(roots.withColumnRenamed("node", "h"), "h", "left").select("id", "added_at", F.coalesce("root", "h").alias("photo"))
-
-
-def repeats(images: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repeats(images: DataFrame, scratch: Scratch | None = None, later: int = 0) -> DataFrame:
     """(repeat, accepted): every row that shows a photo which an earlier row shows, with the earliest row of that photo (by added_at, then id).
 
-    Equal to adding the batches one after another (see `History`). Null or invalid hashes and null times never
-    match; an empty table gives an empty result; columns besides id, path, hash, file_size, added_at and
-    taken_at are ignored.
+    The rows become a `History` of their own: all but the last ``later`` days of added_at as one batch, then each of these days. Null or
+    invalid hashes and null times never match; an empty table gives an empty result; columns besides id, path, hash,
+    file_size, added_at and taken_at are ignored.
     """
-    scratch = scratch or Scratch(images.sparkSession)
-    groups = scratch.save(photo_groups(scratch.save(spelled(images)), scratch))
-    first = groups.groupBy("photo").agg(F.min(F.struct("added_at", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return groups.join(first, "photo").where("id != first.id").select(F.col("id").alias("repeat"), F.col("first.id").alias("accepted"))
+    spark = images.sparkSession
+    scratch = scratch or Scratch(spark)
+    history = History(spark, f"{scratch.root}/history")
+    day = F.floor(F.coalesce("added_at", F.lit(-(1 << 62))) / 86_400)
+    last = sorted(r.day for r in images.select(day.alias("day")).distinct().orderBy(F.desc("day")).limit(later).collect()) if later else []
+    found = history.add(images.where(day < last[0]) if last else images, scratch)
+    for k in last:
+        found = found.union(history.add(images.where(day == k), scratch))
+    if not last:
+        return found
+    # A repeat accepted before a later batch joined its photo to an earlier one follows that one.
+    roots = connected_components(found, "repeat", "accepted", scratch)
+    times = images.select("id", F.coalesce("added_at", F.lit(-(1 << 62))).alias("added_at")).join(roots.select(F.explode(F.array("node", "root")).alias("id")).distinct(), "id")
+    member = roots.select(F.col("node").alias("id"), "root").union(roots.select("root", "root").distinct()).join(times, "id")
+    first = member.groupBy("root").agg(F.min(F.struct("added_at", "id")).alias("first"))
+    return member.join(first, "root").where("id != first.id").select(F.col("id").alias("repeat"), F.col("first.id").alias("accepted"))
 
 
 class History:
-    """Everything accepted so far, as keys and segments in ``folder``; a batch reads these, not the library.
+    """Everything accepted so far, as keys, paths and segments in ``folder``; a batch reads these, not the library.
 
     ``add`` gives (repeat, accepted) for the rows of a batch and appends the batch. Where a row shows that two
-    photos accepted apart are one, the later of them is reported as a repeat then.
+    photos accepted apart are one, the later of them is reported as a repeat then. A batch counts once its manifest is
+    written, as the last of its files, so a batch that fails leaves nothing behind that is read, and a folder can be opened
+    again at any time. One writer at a time; a second one fails at the manifest.
     """
 
+    KINDS = {
+        "keys": "key binary, id long",
+        "paths": "near long, node long, light string, bucket int",
+        "segments": "key long, node long, bucket int",
+        "photos": "id long, root long, root_added long",
+        "merges": "root long, into long, into_added long",
+    }
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.batches = spark, folder.rstrip("/"), 0
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.batches = 0
+        while self._fs.exists(self._manifest(self.batches)):
+            self.batches += 1
+
+    def _manifest(self, k: int):
+        return self._path(f"{self.folder}/manifest/{k:08d}.json")
+
+    def _commit(self, rows: int) -> None:
+        to = self._fs.create(self._manifest(self.batches), False)  # fails where there is one
+        to.write(bytearray(json.dumps({"batch": self.batches, "rows": rows}).encode()))
+        to.close()
+        self.batches += 1
 
-    def _read(self, name: str, like: DataFrame) -> DataFrame:
+    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         paths = [f"{self.folder}/{name}/{k}" for k in range(self.batches)]
-        return self.spark.read.schema(like.schema).parquet(*paths) if paths else self.spark.createDataFrame([], like.schema)
+        if not paths:
+            return self.spark.createDataFrame([], self.KINDS[name])
+        read = self.spark.read.schema(self.KINDS[name])
+        if buckets is None:
+            return read.parquet(*paths)
+        parts = [read.parquet(p) for p in paths]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
+        return out.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        to = f"{self.folder}/{name}/{self.batches}"  # what a failed attempt left there is replaced
+        if "bucket" in df.columns:
+            df.repartition("bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(to)
+        else:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(to)
 
     def add(self, batch: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         scratch = scratch or Scratch(self.spark)
         rows = scratch.save(spelled(batch))
-        keys = rows.select("id", "added_at", F.explode(F.filter(F.array(F.sha2("hash_key", 256), "path_key"), lambda k: k.isNotNull())).alias("key"))
-        nodes = scratch.save(rows.where("canon is not null").groupBy("path_key").agg(F.min("id").alias("node"), F.first("taken_at").alias("taken_at"), F.first("canon").alias("canon")))
-        cut = segments(nodes, False)
-        old_keys, old_cut = self._read("keys", keys), self._read("segments", cut)
-        before, new = (k.groupBy("key").agg(F.min("id").alias(n)) for k, n in ((old_keys, "old"), (keys, "new")))
-        known = new.join(before, "key", "left").select("key", F.coalesce("old", "new").alias("node"))
-        exact = keys.join(known, "key").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-        probes = segments(nodes, True).withColumn("probe", F.lit(True))
-        old = old_cut.union(cut).withColumn("probe", F.lit(False)).join(probes.select("key").distinct(), "key", "left_semi")
-        near = old.union(probes).repartition("key").sortWithinPartitions("key").mapInArrow(by_group(0, _verified), "a long, b long")
-        photos = self._read("photos", self.spark.createDataFrame([], "id long, added_at long, root long"))
-        linked = scratch.save(exact.union(near).distinct())
-        touched = photos.join(linked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-        roots = connected_components(linked.union(touched.select("id", "root")), "a", "b", scratch)
-        member = roots.select(F.explode(F.array("node", "root")).alias("id"), F.col("root").alias("photo")).distinct()
-        times = rows.select("id", "added_at").union(photos.select("id", "added_at")).dropDuplicates(["id"])
-        timed = scratch.save(member.join(times, "id"))
+        # 1. Same hash, or the same taken_at and light path.
+        keys = rows.select("id", F.explode(F.filter(F.array(F.when(F.col("hash_key").isNotNull(), _digest(F.hex("hash_key"))), F.col("path_key")), lambda k: k.isNotNull())).alias("key"))
+        new = scratch.save(keys.groupBy("key").agg(F.min("id").alias("new"), F.count("*").alias("n")))
+        old = self._read("keys").join(new.select("key"), "key", "left_semi").withColumnRenamed("id", "old")
+        known = scratch.save(new.join(old, "key", "left"))
+        alike = known.where("old is not null or n > 1").select("key", F.coalesce("old", "new").alias("node"))
+        exact = keys.join(alike, "key").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        # 2. Paths that are new, against the segments of all paths taken at the same time.
+        fresh = known.where("old is null").select(F.col("key").alias("path_key"), F.col("new").alias("node"))
+        nodes = scratch.save(rows.where("light is not null").select("path_key", "taken_at", "light", "id").join(fresh, "path_key").where("id = node").dropDuplicates(["path_key"]).select(near_key().alias("near"), "node", "light", _bucket("taken_at").alias("bucket")))
+        buckets = sorted(r.bucket for r in nodes.select("bucket").distinct().collect())
+        there = self._read("paths", buckets).join(nodes.select("near").distinct(), "near", "left_semi")
+        shared = scratch.save(nodes.select("near", "node", "light", F.lit(True).alias("fresh")).union(there.select("near", "node", "light", F.lit(False))))
+        several = shared.groupBy("near").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("near")
+        asked = scratch.save(shared.join(several, "near", "left_semi"))
+        probes = segments(asked.where("fresh"), True)
+        kept = self._read("segments", buckets).select("key", "node").join(asked.where("not fresh").select("node"), "node", "left_semi").select("key", "node").union(segments(asked.where("fresh"), False))
+        both = probes.withColumn("probe", F.lit(True)).union(kept.withColumn("probe", F.lit(False)))
+        met = both.join(asked.select("node", "light").dropDuplicates(["node"]), "node").select("key", "node", "light", "probe")
+        near = met.repartition("key").sortWithinPartitions("key").mapInArrow(by_group(0, _verified), "a long, b long").distinct()
+        # 3. What is linked, with the photos that it touches, becomes one photo.
+        linked = scratch.save(exact.withColumn("by", F.lit("key")).union(near.withColumn("by", F.lit("segment"))).distinct())
+        ends = linked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        touched = scratch.save(self._read("photos").join(ends, "id", "left_semi"))
+        merges = self._read("merges")
+        roots = connected_components(linked.select("a", "b").union(touched.select("id", "root")).union(merges.select("root", "into")), "a", "b", scratch)
+        photo = roots.select(F.col("node").alias("id"), F.col("root").alias("photo")).union(roots.select("root", "root").distinct())
+        times = rows.select("id", "added_at").union(touched.select("root", "root_added")).union(merges.select("into", "into_added")).distinct()
+        timed = scratch.save(photo.join(times, "id"))
         first = timed.groupBy("photo").agg(F.min(F.struct("added_at", "id")).alias("first"))
-        accepted = photos.select(F.col("root").alias("id")).distinct()
-        late = timed.join(rows.select("id").union(accepted).distinct(), "id", "left_semi")
-        found = scratch.save(late.join(first, "photo").where("id != first.id").select(F.col("id").alias("repeat"), F.col("first.id").alias("accepted")))
-        k = self.batches
-        keys.write.parquet(f"{self.folder}/keys/{k}")
-        cut.write.parquet(f"{self.folder}/segments/{k}")
-        root = timed.join(first, "photo").select("id", F.col("first.id").alias("root"))
-        rows.select("id", "added_at").join(root, "id", "left").select("id", "added_at", F.coalesce("root", "id").alias("root")).write.parquet(f"{self.folder}/photos/{k}")
-        self.batches += 1
-        return found
+        reported = merges.select(F.col("root").alias("id"))
+        found = scratch.save(timed.join(reported, "id", "left_anti").join(first, "photo").where("id != first.id").select("id", F.col("first.id").alias("accepted"), F.col("first.added_at").alias("accepted_at")))
+        self.linked = linked
+        # 4. The batch joins the history.
+        self._write("keys", known.where("old is null").select("key", F.col("new").alias("id")))
+        self._write("paths", nodes)
+        self._write("segments", segments(nodes, False).join(nodes.select("node", "bucket"), "node").select("key", "node", "bucket"))
+        self._write("merges", found.join(rows.select("id"), "id", "left_anti").select(F.col("id").alias("root"), F.col("accepted").alias("into"), F.col("accepted_at").alias("into_added")))
+        self._write("photos", rows.select("id", "added_at").dropDuplicates(["id"]).join(found, "id", "left").select("id", F.coalesce("accepted", "id").alias("root"), F.coalesce("accepted_at", "added_at").alias("root_added")))
+        self._commit(rows.count())
+        return found.select(F.col("id").alias("repeat"), "accepted")
+
+    def links(self) -> DataFrame:
+        """(by, links): how many links the last batch got from equal keys, and how many from segments."""
+        return self.linked.groupBy("by").agg(F.count("*").alias("links"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from prismarium.llm.canonical import distance
-from prismarium.llm.history import EDITS, History, canonical_path, index_keys, probe_keys, repeats, same_file
+from prismarium.llm.history import EDITS, History, canonical_path, index_keys, light_path, probe_keys, repeats, same_file, words_of
 
 KIND = "id long, path string, hash binary, file_size long, added_at long, taken_at long, lens string"
 
@@ -49,8 +49,10 @@ def test_batches_equal_the_whole(spark, tmp_path):
         name = draw.choice(["{}", "{} (1)", "Copy of {}"]).format(base[1].replace("\\", "/").rpartition("/")[2].rpartition(".")[0])
         rows.append((k, f"/p/d/{name}.jpg", draw.choice([base[2], h(k)]), 10, draw.randrange(1000), base[5], None))
     whole = {(r["repeat"], r.accepted) for r in repeats(spark.createDataFrame(rows, KIND)).collect()}
-    index, seen = History(spark, str(tmp_path / "index")), {}
+    seen, links = {}, {}
     for start, end in ((0, 300), (300, 500), (500, 2000)):
+        index = History(spark, str(tmp_path / "index"))  # the folder is opened anew for every batch
+        assert index.batches == (0 if not start else 1 if start == 300 else 2)
         for r in index.add(spark.createDataFrame([x for x in rows if start <= x[4] < end], KIND)).collect():
             seen[r["repeat"]] = r.accepted
 
@@ -60,9 +62,32 @@ def test_batches_equal_the_whole(spark, tmp_path):
         return k
 
     assert {(k, first(k)) for k in seen} == whole
+    assert {(r["repeat"], r.accepted) for r in repeats(spark.createDataFrame(rows, KIND), later=3).collect()} == whole
+    assert {r.by for r in index.links().collect()} == {"key", "segment"} and all(r.links > 3 for r in index.links().collect())
     assert index.add(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_a_batch_without_a_manifest_does_not_count(spark, tmp_path):
+    at = str(tmp_path / "index")
+    first = spark.createDataFrame([r for r in ROWS if r[0] in (1, 6)], KIND)
+    failing = History(spark, at)
+    failing._commit = lambda rows: (_ for _ in ()).throw(OSError("down"))
+    with pytest.raises(OSError):
+        failing.add(first)
+    again = History(spark, at)
+    assert again.batches == 0 and again.add(first).count() == 0 and again.batches == 1
+    assert {(r["repeat"], r.accepted) for r in History(spark, at).add(spark.createDataFrame([r for r in ROWS if r[0] in (2, 19)], KIND)).collect()} == {(2, 1), (19, 1)}
+    with pytest.raises(Exception, match="exist"):  # a rival that opened the same state
+        again._commit(0)
+
+
+def test_a_merge_is_remembered(spark, tmp_path):
+    index = History(spark, str(tmp_path / "index"))
+    batches = [[(1, "/a/x1.jpg", h(1), 5, 10, 5, "")], [(2, "/b/y2.jpg", h(2), 5, 20, 6, "")], [(3, "/b/y2.jpg", h(1), 5, 30, 6, "")], [(4, "/c/z3.jpg", h(2), 5, 40, 7, "")]]
+    got = [sorted((r["repeat"], r.accepted) for r in index.add(spark.createDataFrame(b, KIND)).collect()) for b in batches]
+    assert got == [[], [], [(2, 1), (3, 1)], [(4, 1)]]
+
+
 @pytest.mark.parametrize(
     "path",
     ["/photos/a b/IMG_1234.JPG", "\\photos\\A B\\img_1234.jpg", "//photos/./a b/IMG_1234.jpeg ", "/photos/x/../a%20b/IMG_1234~2.jpg", "/photos/a b/IMG_1234_1.jpg", "/photos/a b/IMG_1234 - Copy (1).jpg", "/photos/a b/Copy of IMG_1234_copy.jpg", "/photos/a b/IMG_1234(2).jpg\0", "file:///photos/a b/IMG_1234.jpg"],
@@ -100,5 +125,12 @@ def edits(a, b):
     return row[-1]
 
 
+def test_marks_of_copies_are_few_words():
+    assert light_path("/a/B.JPG") == "a/b.jpg" and light_path("/a/b (1).jpg") != light_path("/a/b.jpg")
+    for name, words in (("b", 0), ("b (1)", 1), ("b~2", 1), ("copy of b", 2), ("copy of b - kopie (2)", 4)):
+        assert len(words_of(light_path(f"/a/{name}.jpg"))) - 3 == words
+        assert set(index_keys(words_of("a/b.jpg"))) & set(probe_keys(words_of(light_path(f"/a/{name}.jpg"))))
+
+
 def test_same_file():
     assert same_file("a/cafe _ bar/x1.jpg", "a/cafe & bar/x1.jpg") and not same_file("a/x1.jpg", "a/x2.jpg") and not same_file("a/x1.jpg", "a/x1.raf")
