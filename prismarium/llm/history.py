@@ -238,12 +238,12 @@ def repeats(images: DataFrame, scratch: Scratch | None = None, later: int = 0) -
         found = found.union(history.add(images.where(day == k), scratch))
     if not last:
         return found
-    # A repeat accepted before a later batch joined its photo to an earlier one follows that one.
-    roots = connected_components(found, "repeat", "accepted", scratch)
-    times = images.select("id", F.coalesce("added_at", F.lit(-(1 << 62))).alias("added_at")).join(roots.select(F.explode(F.array("node", "root")).alias("id")).distinct(), "id")
-    member = roots.select(F.col("node").alias("id"), "root").union(roots.select("root", "root").distinct()).join(times, "id")
-    first = member.groupBy("root").agg(F.min(F.struct("added_at", "id")).alias("first"))
-    return member.join(first, "root").where("id != first.id").select(F.col("id").alias("repeat"), F.col("first.id").alias("accepted"))
+    # A repeat accepted before a later batch joined its photo to an earlier one follows that one; a batch adds one step at most.
+    found = scratch.save(found)
+    for _ in last:
+        further = found.select(F.col("repeat").alias("accepted"), F.col("accepted").alias("_first"))
+        found = found.join(further, "accepted", "left").select("repeat", F.coalesce("_first", "accepted").alias("accepted"))
+    return found
 
 
 class History:
@@ -306,7 +306,7 @@ class History:
         rows = scratch.save(spelled(batch))
         # 1. Same hash, or the same taken_at and light path.
         keys = rows.select("id", F.explode(F.filter(F.array(F.when(F.col("hash_key").isNotNull(), _digest(F.hex("hash_key"))), F.col("path_key")), lambda k: k.isNotNull())).alias("key"))
-        new = scratch.save(keys.groupBy("key").agg(F.min("id").alias("new"), F.count("*").alias("n")))
+        new = keys.groupBy("key").agg(F.min("id").alias("new"), F.count("*").alias("n"))
         old = self._read("keys").join(new.select("key"), "key", "left_semi").withColumnRenamed("id", "old")
         known = scratch.save(new.join(old, "key", "left"))
         alike = known.where("old is not null or n > 1").select("key", F.coalesce("old", "new").alias("node"))
@@ -316,7 +316,7 @@ class History:
         nodes = scratch.save(rows.where("light is not null").select("path_key", "taken_at", "light", "id").join(fresh, "path_key").where("id = node").dropDuplicates(["path_key"]).select(near_key().alias("near"), "node", "light", _bucket("taken_at").alias("bucket")))
         buckets = sorted(r.bucket for r in nodes.select("bucket").distinct().collect())
         there = self._read("paths", buckets).join(nodes.select("near").distinct(), "near", "left_semi")
-        shared = scratch.save(nodes.select("near", "node", "light", F.lit(True).alias("fresh")).union(there.select("near", "node", "light", F.lit(False))))
+        shared = nodes.select("near", "node", "light", F.lit(True).alias("fresh")).union(there.select("near", "node", "light", F.lit(False)))
         several = shared.groupBy("near").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("near")
         asked = scratch.save(shared.join(several, "near", "left_semi"))
         probes = segments(asked.where("fresh"), True)
@@ -327,12 +327,12 @@ class History:
         # 3. What is linked, with the photos that it touches, becomes one photo.
         linked = scratch.save(exact.withColumn("by", F.lit("key")).union(near.withColumn("by", F.lit("segment"))).distinct())
         ends = linked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        touched = scratch.save(self._read("photos").join(ends, "id", "left_semi"))
+        touched = self._read("photos").join(ends, "id", "left_semi")
         merges = self._read("merges")
         roots = connected_components(linked.select("a", "b").union(touched.select("id", "root")).union(merges.select("root", "into")), "a", "b", scratch)
         photo = roots.select(F.col("node").alias("id"), F.col("root").alias("photo")).union(roots.select("root", "root").distinct())
         times = rows.select("id", "added_at").union(touched.select("root", "root_added")).union(merges.select("into", "into_added")).distinct()
-        timed = scratch.save(photo.join(times, "id"))
+        timed = photo.join(times, "id")
         first = timed.groupBy("photo").agg(F.min(F.struct("added_at", "id")).alias("first"))
         reported = merges.select(F.col("root").alias("id"))
         found = scratch.save(timed.join(reported, "id", "left_anti").join(first, "photo").where("id != first.id").select("id", F.col("first.id").alias("accepted"), F.col("first.added_at").alias("accepted_at")))

@@ -43,8 +43,8 @@ def p1_offers_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each row of images that repeats a photo, with the accepted row of that photo; the last two days come as batches to the index of all before."""
-    found = repeats(_table(spark, d, "images"), later=2)
+    """Each row of images that repeats a photo, with the accepted row of that photo; the last day comes as a batch to the index of all before."""
+    found = repeats(_table(spark, d, "images"), later=1)
     return found.select(F.least("repeat", "accepted").alias("image_id_a"), F.greatest("repeat", "accepted").alias("image_id_b"))
 
 
