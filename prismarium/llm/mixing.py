@@ -9,6 +9,7 @@ in a reduction tree. So a source's tokens miss its target by less than one docum
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from prismarium.session import Scratch
 
 #: Open fractions that one task of the reduction tree combines, per source.
 FAN_IN = 64
+#: Documents of a task of the first pass, about.
+TASK_ROWS = 25_000
 EPSILON = 1e-9
 DOCS = "doc_id long, source string, tokens long, whole long, part double, open boolean, hand long"
 
@@ -67,8 +70,10 @@ def _round(seed: int, last: bool):
             hand = hand or xxhash.xxh3_64_intdigest(str(doc[0]).encode()) & 0x7FFFFFFF
             of = dict(zip(doc, zip(tokens, whole)))
             rows = []
-            for s in dict.fromkeys(source):
-                mine = [(d, t, p) for d, x, t, p in zip(doc, source, tokens, part) if x == s]
+            by: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
+            for d, s, t, p in zip(doc, source, tokens, part):
+                by[s].append((d, t, p))
+            for s, mine in by.items():
                 if s in held:
                     d, t, p, w = held.pop(s)
                     of[d] = (t, w)
@@ -93,7 +98,8 @@ def _round(seed: int, last: bool):
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, vocabulary: str = VOCABULARY, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, copies) of the documents in the mixture, and a report of every target.
 
-    ``documents`` has doc_id, source and text, ``targets`` (a fixed list of at most 10,000 sources) source, target_share and max_repeats.
+    ``documents`` has doc_id, source and text, ``targets`` (a list of sources, which the driver holds) source, target_share and max_repeats.
+    The same seed gives the same mixture however the documents are split into files.
     ``total`` tokens; by default the most at which every source that has documents reaches its share, the shares
     of sources without documents being divided among the others in proportion. With a larger total, sources
     give what max_repeats allows and the report shows the shares reached. Documents of other or null
@@ -101,11 +107,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     """
     scratch = scratch or Scratch(documents.sparkSession)
     listed = targets.where("source is not null").groupBy("source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
-    plan = [r.asDict() for r in listed.orderBy("source").limit(10_001).collect()]
-    if len(plan) > 10_000:
-        raise ValueError("more than 10,000 targets")
-    names = [p["source"] for p in plan]
-    sizes = scratch.save(counted(documents.where(F.col("source").isin(names) & F.col("doc_id").isNotNull()), "doc_id", "source", vocabulary=vocabulary).where("tokens > 0"))
+    plan = [r.asDict() for r in listed.orderBy("source").collect()]
+    chosen = documents.where("doc_id is not null").join(listed.select("source"), "source", "left_semi").select(*documents.columns)
+    sizes = scratch.save(counted(chosen, "doc_id", "source", vocabulary=vocabulary).where("tokens > 0"))
     there = {r.source: (r.tokens, r.docs) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     usable = [p for p in plan if p["source"] in there and p["target_share"] > 0 and p["max_repeats"] > 0]
     shares = sum(p["target_share"] for p in usable)
@@ -113,9 +117,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     wanted = most if total is None else float(total)
     rates = [(p["source"], min(float(p["max_repeats"]), wanted * p["target_share"] / shares / there[p["source"]][0])) for p in usable]
     spark = documents.sparkSession
-    rate = F.create_map(*(F.lit(x) for r in rates for x in r)) if rates else F.create_map(F.lit(""), F.lit(0.0))
-    spread = sizes.withColumn("rate", rate[F.col("source")]).where("rate > 0").select("doc_id", "source", "tokens", F.floor(F.col("rate") + EPSILON).alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + EPSILON)).alias("part"))
-    done = scratch.save(spread.mapInArrow(_round(seed, False), DOCS))
+    spread = sizes.join(spark.createDataFrame(rates, "source string, rate double"), "source").where("rate > 0").select("doc_id", "source", "tokens", F.floor(F.col("rate") + EPSILON).alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + EPSILON)).alias("part"))
+    # Whom a document is paired with must not depend on files: rows of a task are chosen by a hash and seen in one order.
+    tasks = -(-sum(n for _, n in there.values()) // TASK_ROWS) or 1
+    ordered = spread.repartition(tasks, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(tasks))).sortWithinPartitions("source", F.xxhash64("doc_id"), "doc_id")
+    done = scratch.save(ordered.mapInArrow(_round(seed, False), DOCS))
     settled, level = [done.where("not open")], 0
     open_ = done.where("open")
     while True:
