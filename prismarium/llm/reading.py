@@ -17,10 +17,8 @@ LEVELS = 5
 LABELLED = 20_000
 #: With fewer labelled documents than this, texts whose level a formula gives are added.
 FEWEST, SEEDED = 30, 2_000
-#: Words of a model at most; those in the most documents stay.
-VOCABULARY = 200_000
-#: Weight, in words, of a language's own distribution in each level's.
-SMOOTHING = 100.0
+#: Occurrences of every word that are added to its counts, spread over the levels as all words are.
+SMOOTHING = 1.0
 LEAST_WORDS, LEAST_FUNCTION_WORDS, LEAST_DIFFERENT = 40, 0.125, 2
 #: The most frequent function words of each language.
 FUNCTION_WORDS = {
@@ -70,10 +68,11 @@ class Models:
             total[language] = total.get(language, 0) + np.array(counts, float)
         self.words: dict[str, dict[str, int]] = {k: {} for k in total}
         table = np.zeros((len(rows), LEVELS), np.float32)
+        share = {k: (n + 1) / (n + 1).sum() for k, n in total.items()}
         for i, (language, word, counts) in enumerate(rows):
-            own = sum(counts) / total[language].sum()
+            own = share[language]
             self.words[language][word] = i
-            table[i] = np.log((np.array(counts) + SMOOTHING * own) / (total[language] + SMOOTHING)) - np.log(own)
+            table[i] = np.log((np.array(counts) + SMOOTHING * own) / (sum(counts) + SMOOTHING) / own)
         self.table = table
         self.prior = np.log((np.array(levels, float) + 1) / (sum(levels) + LEVELS))
 
@@ -108,10 +107,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Models:
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))), pa.array([seen[k] for k in keys], pa.int64())], ["language", "word", "level", "n"])
 
     counts = learn.mapInArrow(count, "language string, word string, level int, n long")
-    wide = counts.groupBy("language", "word").agg(*(F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(1, LEVELS + 1)), F.sum("n").alias("n"))
-    rows = wide.where("n > 1 or word = ''").orderBy((F.col("word") == "").desc(), F.col("n").desc(), "language", "word").limit(VOCABULARY).collect()
-    found = [(r.language, r.word, [r[f"n{k}"] for k in range(1, LEVELS + 1)]) for r in rows]
-    return Models([f for f in found if f[1]], next((f[2] for f in found if not f[1]), [0] * LEVELS))
+    wide = counts.groupBy("language", "word").agg(*(F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(1, LEVELS + 1)))
+    rows = wide.orderBy("language", "word").toArrow()  # the words of at most 2 * LABELLED documents
+    found = list(zip(rows["language"].to_pylist(), rows["word"].to_pylist(), zip(*(rows[f"n{k}"].to_pylist() for k in range(1, LEVELS + 1)))))
+    return Models([f for f in found if f[1]], next((list(f[2]) for f in found if not f[1]), [0] * LEVELS))
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:

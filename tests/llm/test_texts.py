@@ -137,3 +137,17 @@ def test_without_labels_a_formula_seeds(spark):
     assert len(got) == 40 and formula_level("A b. C d.", ["a", "b", "c", "d"]) == 1
     assert reading_levels(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
     assert Models([], [0] * 5).level("en", ["x"]) == 1
+
+
+def test_a_mixture_does_not_depend_on_files(spark):
+    draw = random.Random(8)
+    docs = [(k, draw.choice(["a", "a", "a", "b", "c"]), "word " * draw.randrange(1, 60)) for k in range(600)]
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.5, 3), ("c", 0.2, 1), ("none", 0.1, 1)], "source string, target_share double, max_repeats long")
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = [sorted(tuple(r) for r in mix(x, targets)[0].collect()) for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
+def test_words_that_occur_once_count():
+    models = Models([("en", "the", [5, 5, 5, 5, 5]), ("en", "once", [0, 0, 1, 0, 0])], [1, 1, 1, 1, 1])
+    assert models.level("en", ["the", "once"]) == 3 and models.level("en", ["unknown"]) == 1
