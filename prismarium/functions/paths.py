@@ -46,6 +46,13 @@ def mime_type(path: Column | str) -> Column:
     return F.coalesce(F.try_element_at(types, ascii_lower(extension(path))), F.lit("image/jpeg"))
 
 
+def mime_of(path: str) -> str:
+    """As `mime_type`, of a string."""
+    name = path.rpartition("/")[2]
+    base, _, ending = name.rpartition(".")
+    return MIME_TYPES.get(ending.lower(), "image/jpeg") if base else "image/jpeg"
+
+
 def order_key(path: Column | str) -> Column:
     """Sorts paths part by part instead of character by character."""
     return F.split(col(path), "/")

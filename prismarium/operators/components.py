@@ -42,7 +42,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label[keep]])], ["node", "root"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
+#: A root with more links than this is spread over several partitions.
+HOT_ROOT = 1_000_000
+
+
+def _meeting(now: DataFrame, size: int) -> DataFrame:
+    """(node, root, at): every edge at both its ends. Links of a hot root are spread by their other end, and what is known of the root itself goes to all its places."""
+    ends = F.explode(F.array(F.struct(F.col("node").alias("end"), F.col("root").alias("other")), F.struct(F.col("root").alias("end"), F.col("node").alias("other")))).alias("e")
+    sent = now.select("node", "root", ends).select("node", "root", "e.end", "e.other")
+    if size <= HOT_ROOT:
+        return sent.select("node", "root", F.col("end").alias("at"))
+    many = now.groupBy("root").count().where(F.col("count") > HOT_ROOT).select(F.col("root").alias("end"), F.ceil(F.col("count") / HOT_ROOT).alias("places"))  # at most size / HOT_ROOT rows
+    placed = sent.join(F.broadcast(many), "end", "left")
+    own = F.pmod(F.xxhash64("other"), F.col("places"))
+    below = F.col("root") == F.col("end")  # a link of the hot root; else the root's own link to a smaller one
+    at = F.when(F.col("places").isNull(), F.array(F.lit(0).cast("long"))).when(below, F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))
+    return placed.select("node", "root", F.explode(at).alias("place"), "end").select("node", "root", F.when(F.col("place") == 0, F.col("end")).otherwise(F.xxhash64("end", "place")).alias("at"))
+
+
+def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """(node, root) for every node that is not the smallest id of its component.
 
     Each round sends every edge to the partitions of both its ends, where a vectorised union-find turns
@@ -57,8 +75,8 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, max
         .distinct()
     )
     before, now = None, both
-    for _ in range(max_rounds):
-        sent = now.select("node", "root", F.explode(F.array("node", "root")).alias("at")).repartition("at")
+    while True:  # labels only get smaller, so this ends
+        sent = _meeting(now, before[0] if before else 0).repartition("at")
         stars = sent.select("node", "root").mapInArrow(_stars, "node long, root long").distinct()
         saved = scratch.save(stars)
         mark = saved.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
@@ -67,4 +85,3 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, max
         if mark == before:
             return now
         before = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -5,6 +5,9 @@ The model itself is given by the caller as a function; none comes with this pack
 
 from __future__ import annotations
 
+import base64
+import json
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -15,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.functions import col
+from prismarium.functions.paths import mime_of
 from prismarium.operators.grouped import by_group
-from prismarium.sources.pictures import resize_mean, resize_nearest
+from prismarium.sources.content import loadable
+from prismarium.sources.pictures import read_pixels, resize_mean, resize_nearest
 
 #: Fixed values of the detector: canvas, pixel scaling, strides, anchors of a cell, landmarks, thresholds, size of a face crop.
 CANVAS, MEAN, SPREAD, STRIDES, ANCHORS, LANDMARKS = 640, 127.5, 128.0, (8, 16, 32), 2, 5
 LEAST_SCORE, MOST_OVERLAP, CROP, LARGEST_SIDE = 0.4, 0.5, 112, 1920
+#: Fixed values of the describing server: where it is asked, tokens of an answer at most, seconds to wait.
+CHAT_PATH, MOST_ANSWER, ANSWER_SECONDS = "/v1/chat/completions", 512, 120.0
 SCHEMA = "image_id long, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double, embedding array<float>, confidence double"
 
 
@@ -253,6 +260,35 @@ def describe_images(images: DataFrame, model_id: str, load: Callable[[], Callabl
     return images.select("id", "path").mapInPandas(run, "image_id long, model_id string, description string, created_at long")
 
 
+def chat_request(data: bytes, mime: str, model: str, prompt: str) -> dict:
+    """The body of a chat server's request to describe a picture."""
+    url = f"data:{mime};base64,{base64.b64encode(data).decode()}"
+    return {"model": model, "messages": [{"role": "user", "content": [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": url}}]}], "max_tokens": MOST_ANSWER}
+
+
+def chat_describer(server: str, model: str, prompt: str, timeout: float = ANSWER_SECONDS, send: Callable[[str, bytes, float], bytes] | None = None) -> Callable[[], Callable[[str], str]]:
+    """For `describe_images`: asks a chat server below the address ``server``. ``send`` posts a body to an address, by default over HTTP."""
+
+    def load() -> Callable[[str], str]:
+        def say(path: str) -> str:
+            body = json.dumps(chat_request(loadable(path), mime_of(path), model, prompt)).encode()
+            answer = json.loads((send or _post)(server.rstrip("/") + CHAT_PATH, body, timeout))
+            text = answer["choices"][0]["message"]["content"]
+            if not isinstance(text, str):
+                raise ValueError("the answer holds no text")
+            return text.strip()
+
+        return say
+
+    return load
+
+
+def _post(url: str, body: bytes, timeout: float) -> bytes:
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return answer.read()
+
+
 def message_text(response: Column | str) -> Column:
     """The trimmed text in a chat server's JSON answer."""
     return F.trim(F.get_json_object(col(response), "$.choices[0].message.content"))
@@ -296,3 +332,36 @@ def onnx_session(path: str, device: Device | None = None):
     session = ort.InferenceSession(path, options, providers=providers)
     name = session.get_inputs()[0].name
     return lambda tensor: session.run(None, {name: tensor})
+
+
+def build_detector(model: str, embedder: str | None = None, device: str = "cpu", open_model: Callable = onnx_session, pixels: Callable[[str], np.ndarray] = read_pixels) -> Callable[[], Callable[[str], list]]:
+    """For `detect_images`: sessions of a detector and, if given, an embedder, opened once per task on a device, joined to a function of a path."""
+    on = Device.parse(device)
+
+    def load() -> Callable[[str], list]:
+        find = open_model(model, on)
+        vector = open_model(embedder, on) if embedder else None
+        embed = (lambda crop: np.asarray(vector(crop.transpose(2, 0, 1)[None])[0], np.float32).reshape(-1)) if vector else None
+        return lambda path: detect(pixels(path), find, embed)
+
+    return load
+
+
+def build_aligned_detector(model: str, embedder: str | None = None, device: str = "cpu", open_model: Callable = onnx_session, pixels: Callable[[str], np.ndarray] = read_pixels) -> Callable[[], Callable[[str], list]]:
+    """As `build_detector`, of a model that takes the shrunk picture, blue first, and gives boxes, scores and aligned crops."""
+    on = Device.parse(device)
+
+    def load() -> Callable[[str], list]:
+        find = open_model(model, on)
+        vector = open_model(embedder, on) if embedder else None
+        embed = (lambda crop: np.asarray(vector(crop.transpose(2, 0, 1)[None])[0], np.float32).reshape(-1)) if vector else None
+
+        def of(path: str) -> list:
+            rgb = pixels(path)
+            factor, small = downscale_large(rgb)
+            boxes, scores, crops = find(np.ascontiguousarray(small[:, :, ::-1]).astype(np.uint8))[:3]
+            return aligned_faces(np.asarray(boxes, np.float32).reshape(-1, 4), np.asarray(scores, np.float32).reshape(-1), np.asarray(crops), factor, rgb.shape[1], rgb.shape[0], embed)
+
+        return of
+
+    return load

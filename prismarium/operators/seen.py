@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismarium.functions.bloom import PROBES, bits_for, position_column
+from prismarium.operators.ranges import PART, ranged
+from prismarium.session import Scratch
 
 
 def duplicates(images: DataFrame) -> DataFrame:
@@ -70,10 +72,19 @@ def write_seen(hashes: list[bytes]) -> bytes:
     return np.array([1, len(hashes)], "<u4").tobytes() + b"".join(hashes)
 
 
-def neighbours_visible(files: DataFrame) -> DataFrame:
-    """(folder, idx, previous_visible, next_visible): for every file (folder, idx, imported, rejected) the nearest ones that are not hidden."""
+def neighbours_visible(files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(folder, idx, previous_visible, next_visible): for every file (folder, idx, imported, rejected) the nearest ones that are not hidden.
+
+    A folder may hold any share of the files: it is cut into ranges, and each range is told what lies before and behind it.
+    """
     shown = F.when(~F.col("imported") & ~F.col("rejected"), F.col("idx"))
-    w = Window.partitionBy("folder").orderBy("idx")
-    before = F.last(shown, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(shown, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return files.select("folder", "idx", before.alias("previous_visible"), after.alias("next_visible"))
+    placed, key = ranged(files.select("folder", "idx", shown.alias("shown")), ["folder"], ["idx"], scratch), ["folder", PART]
+    w = Window.partitionBy(*key).orderBy("idx")
+    before = F.last("shown", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("shown", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # What the parts of a folder before and behind a part have to offer, one row per folder and part.
+    ends, over = placed.groupBy(*key).agg(F.min("shown").alias("low"), F.max("shown").alias("high")), Window.partitionBy("folder").orderBy(PART)
+    carried = ends.select(*key, F.max("high").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    return placed.withColumn("b", before).withColumn("a", after).alias("p").join(carried.alias("c"), (F.col("p.folder").eqNullSafe(F.col("c.folder"))) & (F.col(f"p.{PART}") == F.col(f"c.{PART}"))).select(
+        "p.folder", "idx", F.coalesce("b", "_before").alias("previous_visible"), F.coalesce("a", "_after").alias("next_visible")
+    )

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismarium.operators.components import connected_components, union_labels
 from prismarium.operators.grouped import by_group
+from prismarium.operators.ranges import numbered
 from prismarium.session import Scratch
 
 DEFAULT_THRESHOLD = 0.92
@@ -20,8 +21,7 @@ BLOCK, AT_ONCE = 20_000, 500
 
 def first_round(entries: DataFrame) -> DataFrame:
     """(group_id, match, a, b) of ``entries`` (group_id, id, seed): the best seed meets the last; with an odd number the best has a bye (b is null)."""
-    w = Window.partitionBy("group_id")
-    ranked = entries.withColumn("r", F.row_number().over(w.orderBy("seed", "id"))).withColumn("n", F.count("*").over(w))
+    ranked = numbered(entries.select("group_id", "id", "seed"), "group_id", ["seed", "id"], "r", "n")
     odd = F.col("n") % 2
     match = F.when((odd == 1) & (F.col("r") == 1), F.lit(0)).otherwise(F.least(F.col("r") - odd, F.col("n") - F.col("r") + 1))
     return ranked.withColumn("match", match).groupBy("group_id", "match").agg(F.min_by("id", "r").alias("a"), F.when(F.count("*") > 1, F.max_by("id", "r")).alias("b"))

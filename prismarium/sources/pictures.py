@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from prismarium.sources.content import exif_fields
+from prismarium.sources.content import exif_fields, loadable
 
 PNG = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -100,6 +100,13 @@ def resize_mean(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(total / (ny[:, None, None] * nx[None, :, None])).astype(np.uint8)
 
 
+def read_pixels(path: str, decode: Callable[[bytes], np.ndarray] = decode_png) -> np.ndarray:
+    """The upright picture of a file with three colours."""
+    data = loadable(path)
+    pixels = apply_orientation(decode(data), read_orientation(data))
+    return np.repeat(pixels[:, :, :1], 3, axis=2) if pixels.shape[2] < 3 else np.ascontiguousarray(pixels[:, :, :3])
+
+
 def thumbnail(data: bytes, most: int, decode: Callable[[bytes], np.ndarray] = decode_png) -> bytes:
     """A PNG at most ``most`` pixels wide and high, in proportion and upright."""
     pixels = apply_orientation(decode(data), read_orientation(data))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismarium.functions.paths import IMAGE_EXTENSIONS
 from prismarium.operators.files import group_files
+from prismarium.session import Scratch
 
 FILES = "path string, size long"
 
@@ -41,19 +42,34 @@ def list_folder(folder: str) -> tuple[list[tuple[str, int]], list[str]]:
 def scan(spark: SparkSession, root: str, spread: int = 64) -> DataFrame:
     """(path, size) of all pictures below ``root``, an error if that is no folder.
 
-    The driver lists folders until there are ``spread`` to share out; tasks walk the rest.
+    Tasks list level by level, until there are ``spread`` folders to share out; then each task walks its own. The driver
+    sees at most so many names of folders.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    found, todo = [], [root.rstrip("/") or "/"]
-    while todo and len(todo) < spread:
-        files, folders = list_folder(todo.pop(0))
-        found += files
-        todo += folders
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["path"]:
+                files, folders = list_folder(folder)
+                yield pd.DataFrame([(*f, False) for f in files] + [(f, 0, True) for f in folders], columns=["path", "size", "folder"])
+
+    scratch, found = Scratch(spark), None
+    todo = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    while True:
+        listed = scratch.save(todo.repartition(min(spread, max(1, todo.count()))).mapInPandas(level, FILES + ", folder boolean"))
+        files = listed.where("not folder").select("path", "size")
+        found = files if found is None else found.union(files)
+        todo = listed.where("folder").select("path")
+        some = todo.limit(spread).count()
+        if some == 0:
+            return found
+        if some == spread:
+            break
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for start in b["folder"]:
+            for start in b["path"]:
                 below = [start]
                 while below:
                     files, folders = list_folder(below.pop())
@@ -61,10 +77,7 @@ def scan(spark: SparkSession, root: str, spread: int = 64) -> DataFrame:
                     if files:
                         yield pd.DataFrame(files, columns=["path", "size"])
 
-    here = spark.createDataFrame(found, FILES)
-    if not todo:
-        return here
-    return here.union(spark.createDataFrame([(f,) for f in todo], "folder string").repartition(len(todo)).mapInPandas(walk, FILES))
+    return found.union(todo.repartition(todo.count()).mapInPandas(walk, FILES))
 
 
 def scan_grouped(spark: SparkSession, root: str) -> DataFrame:

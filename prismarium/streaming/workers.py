@@ -1,5 +1,8 @@
 """Workers that keep a library up to date: each polls a queue, handles what it finds, and writes a new snapshot.
 
+Workers may run at once: each commits against the snapshot that it read, and a round that comes too late is done again.
+An item that fails is left out of the round's commit, so it stays in the queue and is tried again in the next round.
+
 A queue is an anti join, asked anew in every round, so a restarted worker goes on where the library is. With a stream
 of files as source a round starts with new files; without, a trigger of rate rows gives the rhythm.
 """
@@ -80,11 +83,12 @@ def describer(library: Library, model_id: str, load: Callable[[], Callable[[str]
     """Describes images that lack a description by the model."""
 
     def step() -> int:
-        todo = queues.needing_description(library.table("images"), library.table("ai_descriptions"), model_id)
+        now_ = library.snapshot()
+        todo = queues.needing_description(now_.table("images"), now_.table("ai_descriptions"), model_id)
         said = describe_images(todo, model_id, load, now()).withColumn("seq", F.col("image_id")).cache()
         done = said.count()
         if done:
-            library.commit(ai_descriptions=commands.upsert_descriptions(library.table("ai_descriptions"), said))
+            library.commit(now_, ai_descriptions=commands.upsert_descriptions(now_.table("ai_descriptions"), said))
         said.unpersist()
         return done
 
@@ -95,11 +99,12 @@ def face_finder(library: Library, load: Callable) -> Worker:
     """Finds faces in images that have no face row."""
 
     def step() -> int:
-        todo = queues.needing_faces(library.table("images"), library.table("face_detections"))
+        now = library.snapshot()
+        todo = queues.needing_faces(now.table("images"), now.table("face_detections"))
         found = detect_images(todo, load).withColumn("seq", F.col("image_id")).withColumn("person_id", F.lit(None).cast("long")).cache()
         done = found.select("image_id").distinct().count()
         if done:
-            library.commit(face_detections=commands.insert_faces(library.table("face_detections"), found))
+            library.commit(now, face_detections=commands.insert_faces(now.table("face_detections"), found))
         found.unpersist()
         return done
 
@@ -110,11 +115,12 @@ def metadata_filler(library: Library, queue: Callable[[DataFrame], DataFrame] =
     """Reads camera fields of images in the queue; `queues.never_extracted` is another queue."""
 
     def step() -> int:
-        todo = queue(library.table("images"))
+        now = library.snapshot()
+        todo = queue(now.table("images"))
         read = extract_metadata(todo).join(todo, "path").withColumn("seq", F.col("id")).drop("path").cache()
         done = read.count()
         if done:
-            library.commit(images=commands.update_metadata(library.table("images"), read))
+            library.commit(now, images=commands.update_metadata(now.table("images"), read))
         read.unpersist()
         return done
 
@@ -127,14 +133,15 @@ def scanner(library: Library, folder: str, now: Callable[[], int] = lambda: int(
     def step() -> int:
         if not os.path.isdir(folder):
             return 0
-        images = library.table("images")
+        base = library.snapshot()
+        images = base.table("images")
         actions = reconcile(images.select("path", "status"), scan_grouped(library.spark, folder)).cache()
         done = actions.count()
         if done:
             marks = actions.where("action <> 'insert'").select(F.lit(1).alias("seq"), "path", F.when(F.col("action") == "mark_missing", "missing").otherwise("present").alias("status"))
             new = hash_files(actions.where("action = 'insert'")).where("hash is not null").join(actions.select("path", "raw_path"), "path")
             inserts = new.select(F.lit(1).cast("long").alias("seq"), "path", "hash", F.col("size").alias("file_size"), "raw_path")
-            library.commit(images=commands.insert_images(commands.mark(images, marks), inserts, now()))
+            library.commit(base, images=commands.insert_images(commands.mark(images, marks), inserts, now()))
         actions.unpersist()
         return done
 

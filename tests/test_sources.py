@@ -1,3 +1,5 @@
+import base64
+import json
 import struct
 
 import numpy as np
@@ -79,6 +81,54 @@ def test_copying(spark, rows, tmp_path):
         copying.plan_copies(src, str(tmp_path / "nowhere"), "")
 
 
+def test_copies_may_keep_their_folders(spark, rows, tmp_path):
+    for n in ("in/p.jpg", "in/sub/q.jpg", "other/r.jpg", "out/sub/q.jpg"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x")
+    src = spark.createDataFrame([(k, str(tmp_path / n)) for k, n in enumerate(("in/p.jpg", "in/sub/q.jpg", "other/r.jpg"))], "seq long, path string")
+    plan = copying.plan_copies(src, str(tmp_path / "out"), "", keep_below=str(tmp_path / "in"))
+    assert sorted(r.target[len(str(tmp_path)) + 1 :] for r in plan.collect()) == ["out/p.jpg", "out/r.jpg", "out/sub/q_1.jpg"]
+    seen = []
+    done = copying.watched(copying.copy_files(plan), 3, lambda *x: seen.append(x[:2]))
+    assert seen == [(1, 3), (2, 3), (3, 3)] and all(e is None for _, _, e in done) and (tmp_path / "out/sub/q_1.jpg").exists()
+
+
+def test_describing_over_http(spark, rows, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"picture")
+    asked = []
+
+    def send(url, body, timeout):
+        asked.append((url, json.loads(body), timeout))
+        return json.dumps({"choices": [{"message": {"content": "  a dog \n"}}]}).encode()
+
+    say = detect.chat_describer("http://here:1/", "m", "What?", send=send)()
+    assert say(str(tmp_path / "a.png")) == "a dog"
+    url, body, timeout = asked[0]
+    assert url == "http://here:1/v1/chat/completions" and timeout == 120 and body["max_tokens"] == 512 and body["model"] == "m"
+    text, image = body["messages"][0]["content"]
+    assert text == {"type": "text", "text": "What?"} and image["image_url"]["url"] == "data:image/png;base64," + base64.b64encode(b"picture").decode()
+    with pytest.raises(ValueError):
+        detect.chat_describer("x", "m", "p", send=lambda *_: b'{"choices": [{"message": {"content": null}}]}')()(str(tmp_path / "a.png"))
+
+
+def test_a_detector_is_built_of_its_parts(tmp_path):
+    (tmp_path / "a.png").write_bytes(pictures.encode_png(np.zeros((64, 64, 3), np.uint8)))
+
+    def open_model(path, device):
+        assert str(device) == "cpu"
+        if path == "embed":
+            return lambda x: [np.ones((1, 4), np.float32)]
+        sizes = [(640 // s) ** 2 * 2 for s in (8, 16, 32)]
+        scores = [np.zeros(n, np.float32) for n in sizes]
+        scores[2][400] = 0.9
+        return lambda x: [*scores, *(np.full((n, 4), 2.0, np.float32) for n in sizes), *(np.zeros((n, 10), np.float32) for n in sizes)]
+
+    found = detect.build_detector("find", "embed", open_model=open_model)()(str(tmp_path / "a.png"))
+    assert len(found) == 1 and abs(found[0][2] - 0.9) < 1e-6 and np.allclose(found[0][1], 0.5)
+    aligned = detect.build_aligned_detector("find", open_model=lambda *_: lambda x: [np.array([[0, 0, 32, 32]]), np.array([0.7]), np.zeros((1, 112, 112, 3))])()(str(tmp_path / "a.png"))
+    assert aligned[0][0] == [0, 0, 0.5, 0.5] and len(aligned[0][1]) == 0
+
+
 def test_pictures(spark):
     draw = np.random.default_rng(1)
     for shape in ((480, 640, 3), (5, 7, 1), (3, 2, 4)):

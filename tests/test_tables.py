@@ -1,11 +1,16 @@
+import hashlib
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prismarium.functions.bloom import SeenSet
 from prismarium.library import Library
 from prismarium.operators import collections, commands, queues, seen, tournament
 from prismarium.operators.components import connected_components
 from prismarium.schemas import DDL, conform
-from prismarium.session import Scratch
+from prismarium.session import Cancellable, Scratch, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +119,86 @@ def test_components(spark, rows):
     assert rows(connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", Scratch(spark))) == []
 
 
+def test_a_hot_root_is_spread(spark, rows, monkeypatch):
+    from prismarium.operators import components
+
+    monkeypatch.setattr(components, "HOT_ROOT", 20)
+    draw = random.Random(4)
+    edges = [(k, 5000) for k in range(200, 400)] + [(5000, 100), (100, 7)] + [(k, 1000 + k // 10) for k in range(1500, 1700)] + [(draw.randrange(6000, 6400), draw.randrange(6000, 6400)) for _ in range(300)]
+    found = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", Scratch(spark))))
+    label = {n: n for e in edges for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == {n: r for n, r in label.items() if n != r}
+
+
+def test_places_in_groups_of_any_size(spark, rows):
+    from prismarium.operators.ranges import numbered
+
+    draw = random.Random(2)
+    data = [("big" if k % 3 else f"g{k % 7}" if k % 5 else None, draw.randrange(50), k) for k in range(600)]
+    got = numbered(spark.createDataFrame(data, "g string, o long, k long").repartition(9), "g", ["o", "k"], "r", "n").collect()
+    for group in {d[0] for d in data}:
+        mine = sorted((o, k) for g, o, k in data if g == group)
+        assert sorted((r.r, (r.o, r.k), r.n) for r in got if r.g == group) == [(i + 1, x, len(mine)) for i, x in enumerate(mine)]
+
+
+def test_cosine_groups_over_blocks(spark, rows, monkeypatch):
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 8))
+    v = centres[draw.integers(0, 12, 150)] + draw.normal(size=(150, 8)) * 0.15
+    data = [(int(k), [float(x) for x in w]) for k, w in enumerate(v)] + [(900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(data, "id long, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    label = list(range(150))
+    hits = np.argwhere(np.round(u @ u.T, 9) >= 0.92)
+    for _ in range(150):
+        for a, b in hits:
+            label[a] = label[b] = min(label[a], label[b])
+    true = sorted((k, label[k]) for k in range(150) if label.count(label[k]) > 1)
+    for block in (20_000, 20):
+        monkeypatch.setattr(tournament, "BLOCK", block)
+        assert rows(tournament.cosine_groups(df, 8)) == true
+    assert tournament.cosine_groups(df.limit(0), 8).count() == 0
+
+
+def test_a_seen_set_grows_its_filter():
+    for n in (819, 820, 854, 855):
+        s = SeenSet()
+        assert s.is_empty() and s.bloom.bits == 8192
+        for k in range(n):
+            s.insert(hashlib.sha256(str(k).encode()).digest())
+        s.insert(hashlib.sha256(b"0").digest())
+        assert len(s) == n + 1 and s.bloom.bits == (16384 if n + 1 > 854 else 8192)
+        assert all(s.probably_contains(hashlib.sha256(str(k).encode()).digest()) for k in range(n))
+
+
+def test_cancelled_work_gives_nothing(spark):
+    work = Cancellable(spark)
+    assert work.run(lambda: spark.range(10).count()) == 10
+    assert work.run(lambda: work.cancel() and 5) is None
+    with pytest.raises(ZeroDivisionError):
+        work.run(lambda: 1 // 0)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Unset:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Other:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = Unset
+
+        conf = Unset
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Other)
+
+
 def test_seen_sets(spark, rows, tmp_path):
     import hashlib
 

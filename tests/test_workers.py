@@ -1,6 +1,10 @@
+import threading
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from prismarium.library import Library
+from prismarium.library import Conflict, Library
 from prismarium.operators import queues
 from prismarium.schemas import DDL, conform
 from prismarium.streaming import workers
@@ -88,6 +92,35 @@ def test_polling_backs_off_and_stops(spark, tmp_path):
     assert good.handled >= 1 and not good.query.isActive
 
 
+def test_of_two_writers_the_later_reads_again(spark, tmp_path):
+    lib = library(spark, tmp_path, ["/a.jpg"])
+    before = lib.snapshot()
+    persons = spark.createDataFrame([(1, "p", 0)], DDL["persons"])
+    assert lib.commit(before, persons=persons) == 2
+    assert lib.commit(before, images=lib.table("images").where("id < 0")) == 3  # another table than the rival's
+    assert lib.table("persons").count() == 1 and lib.table("images").count() == 0 and before.table("images").count() == 1
+    with pytest.raises(Conflict):
+        lib.commit(before, persons=persons.limit(0))
+    assert lib.table("persons").count() == 1 and lib.snapshot().number == 3
+
+
+def test_workers_at_once_lose_nothing(spark, rows, tmp_path):
+    lib = library(spark, tmp_path, [f"/{k}.jpg" for k in range(6)])
+    slow = lambda out: (lambda: (lambda path: time.sleep(0.2) or out))
+    both = [workers.describer(lib, "m", slow("text"), lambda: 5), workers.face_finder(lib, slow([([0.1, 0.1, 0.2, 0.2], [1.0], 0.9)])), workers.describer(lib, "n", slow("other"), lambda: 6)]
+    for w in both:
+        w.backoff.sleep = lambda s: None
+    for _ in range(3):  # the two describers write one table, so one of them may have to come again
+        threads = [threading.Thread(target=w.run_once) for w in both]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+    assert rows(lib.table("ai_descriptions").groupBy("model_id").count()) == [("m", 6), ("n", 6)]
+    ids = [r.id for r in lib.table("ai_descriptions").collect()]
+    assert sorted(ids) == list(range(1, 13)) and lib.table("face_detections").count() == 6
+
+
 def test_tagging_sessions(spark, rows):
     log = [("s", 1, "assign", 1, 10), ("s", 2, "assign", 2, 20), ("s", 3, "back", None, None), ("s", 4, "skip", 2, None), ("s", 5, "assign", 1, 11), ("s", 6, "back", None, None), ("t", 1, "back", None, None), ("t", 2, "assign", 9, 1)]
     df = spark.createDataFrame(log, "session string, seq long, action string, face_id long, person_id long")
