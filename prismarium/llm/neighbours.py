@@ -21,11 +21,13 @@ from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: Trees, the rows an ascent has to meet (over all trees), and how near a prefix is visited in any case.
-TREES, ENOUGH, MARGIN = 2, 8_000, 0.05
+TREES, ENOUGH, MARGIN = 2, 3_500, 0.05
 #: Rows of a block of a dense prefix, and of a block of the whole table, at most, about; asking rows of a similarity matrix.
 BLOCK_ROWS, WIDE_ROWS, SCAN_ROWS = 32_768, 131_072, 512
 #: The similarity from which on `nearest` lets the forest find neighbours.
 CLOSE = 0.8
+#: The homes are searched in so many turns, so that only a part of the fetched vectors is on disk at a time.
+TURNS = 2
 #: Cosines of vectors sent as bytes are wrong by less than this.
 SMALL_ERROR = 0.012
 ASKS, ANSWERS = 1, 2
@@ -134,11 +136,12 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
             others = units[answer]
             for x in range(0, len(ask), SCAN_ROWS):
                 a = ask[x : x + SCAN_ROWS]
-                i, j = _top(units[a] @ others.T, k + 3, least - SMALL_ERROR)
+                i, j = _top(units[a] @ others.T, k + 2, least - SMALL_ERROR)
                 a, c = a[i], answer[j]
                 apart = home[a] != home[c]
                 a, c = a[apart], c[apart]
-                out.append(np.stack([np.concatenate([home[a], home[c]]), np.concatenate([own[c], own[a]])], axis=1))
+                visits = (role[a] & ANSWERS) == 0  # who only visits is a candidate for those it finds, too
+                out.append(np.stack([np.concatenate([home[a], home[c[visits]]]), np.concatenate([own[c], own[a[visits]]])], axis=1))
         if out:
             found = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["home", "id"])
@@ -156,12 +159,14 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
             ids = b.column(0).to_numpy()[at]
             late, head = copies(ids, values, k)
             if len(late):
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - (ids[late] & 1023)), pa.array(np.zeros(len(late), np.int8)), pa.array(ids[late]), V.binary(head[:, None])], ["cell", "role", "id", "v"])
+                spread = pa.array(-1 - (ids[late] & 1023))
+                yield pa.RecordBatch.from_arrays([spread, spread, pa.array(np.zeros(len(late), np.int8)), pa.array(ids[late]), V.binary(head[:, None])], ["home", "cell", "role", "id", "v"])
             stay = np.setdiff1d(np.arange(len(ids)), late)
             ids, values = ids[stay], values[stay]
             tree = forest.trees[0]
-            row, cell, role = spots(tree.prefixes(tree.strings(V.unit(values), V.DIGITS)[0]), 0, blocks[0], ids, ASKS | ANSWERS)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(ids[row]), V.pack_exact(values).take(pa.array(row))], ["cell", "role", "id", "v"])
+            home = tree.prefixes(tree.strings(V.unit(values), V.DIGITS)[0])
+            row, cell, role = spots(home, 0, blocks[0], ids, ASKS | ANSWERS)
+            yield pa.RecordBatch.from_arrays([pa.array(home[row]), pa.array(cell), pa.array(role), pa.array(ids[row]), V.pack_exact(values).take(pa.array(row))], ["home", "cell", "role", "id", "v"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, blocks = shared.value
@@ -186,8 +191,15 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], schema=FOUND)
 
     ddl = "cell long, role byte, id long, v binary"
-    at_home = df.mapInArrow(settle, ddl).union(asked.join(df, "id").select("home", "id", "embedding").mapInArrow(fetch, ddl))
-    found = scratch.save(at_home.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, exact), FOUND_DDL))
+    turns = []
+    for turn in range(TURNS):
+        here = lambda c, turn=turn: F.pmod(F.xxhash64(c), F.lit(TURNS)) == turn
+        fetched = asked.where(here("home")).join(df, "id").select("home", "id", "embedding")
+        at_home = df.mapInArrow(settle, f"home long, {ddl}").where(here("home")).drop("home").union(fetched.mapInArrow(fetch, ddl))
+        turns.append(scratch.save(at_home.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, exact), FOUND_DDL)))
+    found = turns[0]
+    for t in turns[1:]:
+        found = found.union(t)
     scratch.drop(asked)
     near = found.where(F.col("similarity") < COPY)
     if max(b.max() for b in blocks) > 1:
