@@ -26,6 +26,8 @@ from prismarium.session import Scratch
 
 #: A row visits centres until these have so many rows together, and those within this similarity of its best in any case.
 ENOUGH, MARGIN = 6_000, 0.07
+#: Rows to a centre, about.
+CENTRE_ROWS = 2_000
 ROWS_DDL, LINKS_DDL = "cell long, own boolean, id long, v binary", "own boolean, id long, label long"
 
 
@@ -40,7 +42,7 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96) -> Da
     totals, n = leaves(df, dim)
     if not len(n):
         return spark.createDataFrame([], "id long, grp long")
-    label = agglomerate(totals, n, max(4, int(n.sum()) // V.CELL_ROWS))
+    label = agglomerate(totals, n, max(4, int(n.sum()) // CENTRE_ROWS))
     heads, inverse = np.unique(label, return_inverse=True)
     sums = np.zeros((len(heads), dim))
     np.add.at(sums, inverse, totals)

@@ -21,7 +21,7 @@ from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: Trees, the rows an ascent has to meet (over all trees), and how near a prefix is visited in any case.
-TREES, ENOUGH, MARGIN = 2, 3_500, 0.05
+TREES, ENOUGH, MARGIN = 2, 700, 0.05
 #: Rows of a block of a dense prefix, and of a block of the whole table, at most, about; asking rows of a similarity matrix.
 BLOCK_ROWS, WIDE_ROWS, SCAN_ROWS = 32_768, 131_072, 512
 #: The similarity from which on `nearest` lets the forest find neighbours.
@@ -194,7 +194,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
     turns = []
     for turn in range(TURNS):
         here = lambda c, turn=turn: F.pmod(F.xxhash64(c), F.lit(TURNS)) == turn
-        fetched = asked.where(here("home")).join(df, "id").select("home", "id", "embedding")
+        fetched = asked.where(here("home")).join(df.hint("merge"), "id").select("home", "id", "embedding")
         at_home = df.mapInArrow(settle, f"home long, {ddl}").where(here("home")).drop("home").union(fetched.mapInArrow(fetch, ddl))
         turns.append(scratch.save(at_home.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, exact), FOUND_DDL)))
     found = turns[0]

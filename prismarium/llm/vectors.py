@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from prismarium.operators.components import union_labels
 
 #: Rows to a centre of a tree, about, and rows of the sample that a centre needs at least.
-CELL_ROWS, SAMPLED_PER_CENTRE = 2_000, 30
+CELL_ROWS, SAMPLED_PER_CENTRE = 400, 30
 #: Rows in the sample that gives centres, about; its size never exceeds twice this.
 SAMPLE_ROWS = 24_000
 #: A prefix with more rows than this gets longer, up to so many digits.

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from prismarium.llm import linking
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.features import FeatureTree, agglomerate, leaves
@@ -218,7 +219,7 @@ def test_groups_arrive_whole():
 
 @pytest.mark.parametrize("cell", [90, 10_000])
 def test_clusters_against_brute_force(spark, odd, cell, monkeypatch):
-    monkeypatch.setattr(V, "CELL_ROWS", cell)
+    monkeypatch.setattr(linking, "CENTRE_ROWS", cell)
     rows = points(80, 14, seed=4, noise=0.12) + odd + [(8000, points(80, 14, seed=4, noise=0.12)[0][1], "copy")]
     got = {(r.cluster_id, r.member) for r in clusters(spark.createDataFrame(rows, KIND), 0.75, 5, DIM).collect()}
     good = sorted(r for r in rows if r[0] < 9000)
