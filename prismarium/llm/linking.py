@@ -25,9 +25,9 @@ from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: A row visits centres until these have so many rows together, and those within this similarity of its best in any case.
-ENOUGH, MARGIN = 6_000, 0.07
+ENOUGH, MARGIN = 1_200, 0.06
 #: Rows to a centre, about.
-CENTRE_ROWS = 2_000
+CENTRE_ROWS = 1_000
 ROWS_DDL, LINKS_DDL = "cell long, own boolean, id long, v binary", "own boolean, id long, label long"
 
 
