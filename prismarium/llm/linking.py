@@ -25,9 +25,11 @@ from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: A row visits centres until these have so many rows together, and those within this similarity of its best in any case.
-ENOUGH, MARGIN = 1_200, 0.06
+ENOUGH, MARGIN = 1_200, 0.07
 #: Rows to a centre, about.
 CENTRE_ROWS = 1_000
+#: The centres are handled in so many turns, so that only a part of the visiting vectors is on disk at a time.
+TURNS = 2
 ROWS_DDL, LINKS_DDL = "cell long, own boolean, id long, v binary", "own boolean, id long, label long"
 
 
@@ -86,8 +88,11 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96) -> Da
         if members:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owns)), pa.array(np.concatenate(members)), pa.array(np.concatenate(labels))], ["own", "id", "label"])
 
-    routed = df.select("id", "embedding").mapInArrow(send, ROWS_DDL).repartition("cell").sortWithinPartitions("cell")
-    found = scratch.save(routed.mapInArrow(by_group(0, local), LINKS_DDL))
+    routed, found = df.select("id", "embedding").mapInArrow(send, ROWS_DDL), None
+    for turn in range(TURNS):
+        here = routed.where(F.pmod(F.xxhash64("cell"), F.lit(TURNS)) == turn)
+        linked = scratch.save(here.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, local), LINKS_DDL))
+        found = linked if found is None else found.union(linked)
     # A row stands for itself where its own centre links it with nothing.
     per_row = scratch.save(found.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("label"))), F.col("id")).alias("first"), F.collect_set("label").alias("labels")))
     crossing = per_row.select(F.col("first").alias("a"), F.explode("labels").alias("b"))
