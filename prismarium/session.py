@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import threading
@@ -95,6 +96,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Has the driver look for what is no longer referred to, so that Spark's cleaner deletes the shuffle files of steps whose result is saved."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         path = getattr(df, "_scratch_path", None)
