@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import threading
@@ -15,6 +14,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 
 
@@ -88,19 +88,19 @@ class Scratch:
             context._prismarium_clears = True
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back."""
+        """Write ``df`` and read it back. The shuffle files of the write go with its end, as nothing else reads them."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        try:
+            self.spark.conf.set(_CLEANUP, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def tidy(self) -> None:
-        """Has the driver look for what is no longer referred to, so that Spark's cleaner deletes the shuffle files of steps whose result is saved."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         path = getattr(df, "_scratch_path", None)
