@@ -93,7 +93,6 @@ def link(df: DataFrame, threshold: float, scratch: Scratch, dim: int = 96) -> Da
         here = routed.where(F.pmod(F.xxhash64("cell"), F.lit(TURNS)) == turn)
         linked = scratch.save(here.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, local), LINKS_DDL))
         found = linked if found is None else found.union(linked)
-        scratch.tidy()
     # A row stands for itself where its own centre links it with nothing.
     per_row = scratch.save(found.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("label"))), F.col("id")).alias("first"), F.collect_set("label").alias("labels")))
     crossing = per_row.select(F.col("first").alias("a"), F.explode("labels").alias("b"))

@@ -148,7 +148,6 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
 
     routed = df.mapInArrow(send, "cell long, role byte, id long, home long, v binary").repartition("cell").sortWithinPartitions("cell")
     asked = scratch.save(routed.mapInArrow(by_group(0, meet), "home long, id long").distinct())
-    scratch.tidy()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows at their homes; copies that need no search."""
@@ -198,7 +197,6 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
         fetched = asked.where(here("home")).join(df.hint("merge"), "id").select("home", "id", "embedding")
         at_home = df.mapInArrow(settle, f"home long, {ddl}").where(here("home")).drop("home").union(fetched.mapInArrow(fetch, ddl))
         turns.append(scratch.save(at_home.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(0, exact), FOUND_DDL)))
-        scratch.tidy()
     found = turns[0]
     for t in turns[1:]:
         found = found.union(t)
