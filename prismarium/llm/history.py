@@ -36,7 +36,7 @@ EDITS = 4
 SEGMENTS = EDITS + 1
 LETTER_EDITS = 2
 #: The index is kept in so many buckets by the month a photo was taken, so that a batch reads those of its own months.
-BUCKETS, MONTH = 32, 31 * 86_400
+BUCKETS, MONTH = 8, 31 * 86_400
 #: How systems, sync tools and file managers name a copy, before and behind the stem.
 COPY_BEFORE = r"(?:copy|kopie|copie|copia|cópia|kopia|copy \(\d+\)) (?:of|von|de|di|från) "
 COPY_BEHIND = r"(?:[ _-]+(?:copy|kopie|copie|copia|cópia|kopia)(?:[ _-]*\d{1,2})?| ?\(\d{1,3}\)|~\d{1,2}| - \d{1,2}|(?<=\d{3})_\d)"

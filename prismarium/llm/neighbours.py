@@ -21,7 +21,7 @@ from prismarium.operators.grouped import by_group
 from prismarium.session import Scratch
 
 #: Trees, the rows an ascent has to meet (over all trees), and how near a prefix is visited in any case.
-TREES, ENOUGH, MARGIN = 2, 700, 0.05
+TREES, ENOUGH, MARGIN = 2, 800, 0.06
 #: Rows of a block of a dense prefix, and of a block of the whole table, at most, about; asking rows of a similarity matrix.
 BLOCK_ROWS, WIDE_ROWS, SCAN_ROWS = 32_768, 131_072, 512
 #: The similarity from which on `nearest` lets the forest find neighbours.
@@ -140,8 +140,7 @@ def neighbours(df: DataFrame, k: int = 5, least: float = 0.8, dim: int = 96, scr
                 a, c = a[i], answer[j]
                 apart = home[a] != home[c]
                 a, c = a[apart], c[apart]
-                visits = (role[a] & ANSWERS) == 0  # who only visits is a candidate for those it finds, too
-                out.append(np.stack([np.concatenate([home[a], home[c[visits]]]), np.concatenate([own[c], own[a[visits]]])], axis=1))
+                out.append(np.stack([np.concatenate([home[a], home[c]]), np.concatenate([own[c], own[a]])], axis=1))  # each is a candidate for the other
         if out:
             found = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["home", "id"])

@@ -130,4 +130,9 @@ def oracle_sql() -> dict[str, str]:
             JOIN face_detections y ON y.id = r.b AND y.person_id IS NOT NULL GROUP BY 1, 2""",
         "p4_found": f"""WITH RECURSIVE {_PAIRS(0.5, 0.75)}, reach AS (SELECT DISTINCT a AS id, a AS other FROM d UNION SELECT reach.id, d.b FROM reach JOIN d ON d.a = reach.other),
             g AS (SELECT id AS face_id, min(other) AS cluster_id, count(*) AS n FROM reach GROUP BY id) SELECT cluster_id, face_id FROM g WHERE n >= 5""",
+        "p4_groups": f"""WITH RECURSIVE {_PAIRS(0.5, 0.75)}, reach AS (SELECT DISTINCT a AS id, a AS other FROM d UNION SELECT reach.id, d.b FROM reach JOIN d ON d.a = reach.other),
+            g AS (SELECT id, min(other) AS cluster_id, count(*) AS size FROM reach GROUP BY id), m AS (SELECT g.cluster_id, g.id, g.size, u.e FROM g JOIN u ON u.id = g.id WHERE g.size >= 5),
+            t AS (SELECT cluster_id, i, sum(e[i]) AS s FROM m, (SELECT unnest(range(1, 97)) AS i) GROUP BY 1, 2), c AS (SELECT cluster_id, list(s ORDER BY i)::DOUBLE[96] AS t FROM t GROUP BY 1),
+            x AS (SELECT cluster_id, id, size, array_inner_product(e, t) / sqrt(array_inner_product(t, t)) AS s FROM m JOIN c USING (cluster_id))
+            SELECT cluster_id, size, row_number() OVER (PARTITION BY cluster_id ORDER BY round(s, 9) DESC, id) AS rank, id AS face_id, round(s, 6) AS similarity FROM x QUALIFY rank <= 3""",
     }
