@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -337,12 +338,16 @@ class History:
         reported = merges.select(F.col("root").alias("id"))
         found = scratch.save(timed.join(reported, "id", "left_anti").join(first, "photo").where("id != first.id").select("id", F.col("first.id").alias("accepted"), F.col("first.added_at").alias("accepted_at")))
         self.linked = linked
-        # 4. The batch joins the history.
-        self._write("keys", known.where("old is null").select("key", F.col("new").alias("id")))
-        self._write("paths", nodes)
-        self._write("segments", segments(nodes, False).join(nodes.select("node", "bucket"), "node").select("key", "node", "bucket"))
-        self._write("merges", found.join(rows.select("id"), "id", "left_anti").select(F.col("id").alias("root"), F.col("accepted").alias("into"), F.col("accepted_at").alias("into_added")))
-        self._write("photos", rows.select("id", "added_at").dropDuplicates(["id"]).join(found, "id", "left").select("id", F.coalesce("accepted", "id").alias("root"), F.coalesce("accepted_at", "added_at").alias("root_added")))
+        # 4. The batch joins the history; its tables are written side by side.
+        tables = {
+            "keys": known.where("old is null").select("key", F.col("new").alias("id")),
+            "paths": nodes,
+            "segments": segments(nodes, False).join(nodes.select("node", "bucket"), "node").select("key", "node", "bucket"),
+            "merges": found.join(rows.select("id"), "id", "left_anti").select(F.col("id").alias("root"), F.col("accepted").alias("into"), F.col("accepted_at").alias("into_added")),
+            "photos": rows.select("id", "added_at").dropDuplicates(["id"]).join(found, "id", "left").select("id", F.coalesce("accepted", "id").alias("root"), F.coalesce("accepted_at", "added_at").alias("root_added")),
+        }
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(lambda item: self._write(*item), tables.items()))
         self._commit(rows.count())
         return found.select(F.col("id").alias("repeat"), "accepted")
 
