@@ -214,6 +214,13 @@ class Forest:
                 rows = np.flatnonzero(short | (value[:, step] >= value[:, 0] - margin))
                 string = np.concatenate([digits[rows, step : step + 1], digits[rows, :step], digits[rows, step + 1 :]], axis=1)[:, :DIGITS]
                 out[t].append((rows, tree.prefixes(string)))
+                if not step:  # the parts of a hot prefix share rows with their neighbours, as its rows visit the part beginning with their next digit
+                    for level in range(1, min(len(tree.hot), string.shape[1] - 2) + 1):
+                        below = np.flatnonzero(np.isin(tree.prefixes(string, level), tree.hot[level - 1]))
+                        turned = string[below].copy()
+                        turned[:, [level, level + 1]] = turned[:, [level + 1, level]]
+                        if len(below):
+                            out[t].append((rows[below], tree.prefixes(turned)))
                 held[rows] += tree.sizes[digits[rows, step]]
             if gone == len(self.trees):
                 break

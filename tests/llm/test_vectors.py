@@ -173,6 +173,16 @@ def test_copies_keep_their_group(spark):
     assert all(got[8000 + k] == got[rows[k][0]] for k in range(len(rows) // 2) if rows[k][0] in got) and len(got) > 50
 
 
+def test_a_hot_centre_keeps_its_group_together(spark, monkeypatch):
+    monkeypatch.setattr(V, "HOT_ROWS", 300)
+    draw = np.random.default_rng(21)  # a third of all rows in one identity, which the trees of features hold in one leaf
+    n, centre = 4500, V.unit(draw.normal(size=(1, 96)))[0]
+    one = centre + draw.normal(size=(n // 3, 96)) * 0.035
+    values = np.float16(np.concatenate([one, draw.normal(size=(n - n // 3, 96))])).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"id": np.arange(n), "embedding": pa.array(list(values))})).repartition(4)
+    assert [tuple(r) for r in clusters(df).groupBy("cluster_id").count().collect()] == [(0, n // 3)]
+
+
 def test_strings_are_stable_and_hot_prefixes_deepen(spark, monkeypatch):
     draw = np.random.default_rng(3)
     units = V.unit(draw.normal(size=(3000, DIM)).astype(np.float32))
@@ -186,6 +196,7 @@ def test_strings_are_stable_and_hot_prefixes_deepen(spark, monkeypatch):
         assert [t.sizes.sum() for t in forest.trees] == [3000, 3000]
         a, b = forest.visits(units, 0.0, 1), forest.visits(units[::-1], 0.0, 1)
         assert all((x[0][1] == y[0][1][::-1]).all() for x, y in zip(a, b)) and all(len(x[0][0]) == 3000 for x in a)
+        assert sum(len(r) for r, _ in a[0][1:]) <= 3000 * (len(forest.trees[0].hot) if forest is deep else 1)
     most = [max(np.unique(f.visits(units, 0.0, 1)[0][0][1], return_counts=True)[1]) for f in (plain, deep)]
     assert most[0] == plain.trees[0].sizes.max() and most[1] <= 200 < most[0] and len(deep.trees[0].hot[0])
     everything = plain.visits(units, 0.0, 6000)  # an ascent in both trees at once goes on until both hold all rows
