@@ -6,7 +6,7 @@ from prismarium.llm import linking
 from prismarium.llm import vectors as V
 from prismarium.llm.clusters import clusters, describe
 from prismarium.llm.features import FeatureTree, agglomerate, leaves
-from prismarium.llm.neighbours import copies, nearest, neighbours, offers, scan, spots
+from prismarium.llm.neighbours import copies, meetings, nearest, neighbours, offers, scan, scan_near, spots
 from prismarium.operators.components import union_labels
 from prismarium.operators.grouped import by_group
 
@@ -159,6 +159,33 @@ def test_scan_is_exact_over_blocks():
     assert len(a) == 3000 and not len(scan(ids[:5], values[:5], ids[:5], values[:5], 5, 1.1)[0])
 
 
+def test_many_rows_below_a_prefix_meet_few():
+    draw = np.random.default_rng(31)
+    centres = V.unit(draw.normal(size=(900, 96)))
+    values = np.float16(centres[draw.integers(0, 900, 9000)] + draw.normal(size=(9000, 96)) * 0.05).astype(np.float32)
+    values[5:40] = values[3]  # more copies than neighbours
+    ids, units = draw.permutation(9000), V.unit(values)
+    met = sum(len(who) * len(others) for who, others in meetings(units, units, ids, 0.14))
+    assert met < 0.2 * 9000 * 9000  # before, every row met every other
+    true = set(zip(*(x.tolist() for x in scan(ids, values, ids, values, 5, 0.8)[:2])))
+    a, b, s = scan_near(ids, values, ids, values, 5, 0.8)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert len(true) > 5000 and len(got) == len(a) and len(got & true) >= 0.995 * len(true) and np.bincount(a).max() <= 5
+    again = draw.permutation(9000)  # neither centres nor results depend on the order of the rows
+    assert set(zip(*(x.tolist() for x in scan_near(ids[again], values[again], ids, values, 5, 0.8)[:2]))) == got
+    few = np.arange(100)
+    assert [(len(x), len(y)) for x, y in meetings(units[few], units[few], few, 0.12)] == [(100, 100)]
+    assert [len(x) for x in scan_near(ids[:9], values[:9], ids, -values, 5, 0.99)] == [0, 0, 0]
+
+
+def test_visits_do_not_grow_with_the_table():
+    draw = np.random.default_rng(32)
+    units = V.unit(draw.normal(size=(6000, 96)).astype(np.float32))
+    few, many = (V.Forest.fit(units, rows, 1).trees[0] for rows in (32_000, 320_000))
+    assert len(few.centres) == V.FEW_CENTRES and len(many.centres) < 2 * len(few.centres)  # before, 80 and 200 of this sample
+    assert len(V.Forest.fit(units, 10**9, 1).trees[0].centres) == len(units) // V.SAMPLED_PER_CENTRE
+
+
 def test_copies_are_linked_without_comparing(spark):
     rows = points(20, 6) + [(7000 + k, points(1, 2, seed=9)[0][1], "") for k in range(400)]
     df = spark.createDataFrame(rows, KIND).repartition(4)
